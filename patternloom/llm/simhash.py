@@ -115,12 +115,12 @@ def links(reps: DataFrame, radius: int = 2, segments: int | None = None, tile_ro
     cells = reps.select("node", "fp", cell.alias("cell"))
     # tiles: at most tile_rows rows at home, about four times as many guests
     size = cells.groupBy("cell").agg(F.count("*").alias("h"))
-    guests = size.select(F.explode(F.transform(moves, lambda m: F.col("cell") + m)).cast("long").alias("cell"), F.col("h").alias("g")).groupBy("cell").agg(F.sum("g").alias("g"))
+    guests = size.select(F.explode(F.transform(moves, lambda m: F.col("cell") + m)).alias("cell"), F.col("h").alias("g")).groupBy("cell").agg(F.sum("g").alias("g"))
     plan = size.join(guests, "cell").select("cell", F.ceil(F.col("h") / tile_rows).cast("int").alias("k"), F.ceil((F.col("h") + F.col("g")) / (4 * tile_rows)).cast("int").alias("m"))
     plan = shared_table(plan, "tiles")
     pick = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     home = cells.join(plan, "cell").select("cell", pick("k").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), "node", "fp", F.lit(True).alias("home"))
-    guest = cells.select("node", "fp", F.explode(F.transform(moves, lambda m: F.col("cell") + m)).cast("long").alias("cell"))
+    guest = cells.select("node", "fp", F.explode(F.transform(moves, lambda m: F.col("cell") + m)).alias("cell"))
     guest = guest.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), pick("m").alias("j"), "node", "fp", F.lit(False).alias("home"))
     # each (cell, i, j) holds its guests with their own row at home among them: a pair meets in one tile
     return home.unionByName(guest).groupBy("cell", "i", "j").applyInPandas(_compare(radius), "a long, b long")
