@@ -1,0 +1,3 @@
+"""Log-pattern analytics on Spark: templates, typed variables, statistics, anomalies, reports."""
+
+__version__ = "0.1.0"
