@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def columns_of(text: str | None, tokens: Tokens, bits: int) -> np.ndarray:
     found = _TOKEN.findall(text) if text else []
     if not found:
         return np.zeros(0, np.int64)
-    h = np.array([tokens[t] for t in found], np.uint64)
+    h = np.fromiter(chain.from_iterable(map(tokens.__getitem__, found)), np.uint64, 2 * len(found)).reshape(-1, 2)
     word, shape = h[:, 0], h[:, 1]
     shape = shape.copy()
     shape[1:][word[1:] == word[:-1]] = 1  # same as before

@@ -5,16 +5,16 @@ in order (each is the one before plus an exponential). The output is the expecte
 k of P(grade > k).
 
 Features: a text's distinct words (lower-cased runs of letters and digits), each with its first three to five
-characters, hashed to ``2**bits`` columns; a column's value is the number of distinct words that have it.
-Only columns met in ``least_rows`` training rows or more are used. Since the sum over words is linear, each
-word has one score, and scoring a document sums the scores of its distinct words.
+characters, hashed to ``2**bits`` columns; values are 0 and 1. Only columns that mark grades above the lowest
+in the training rows have weights, so most words have none, and scoring looks each distinct word up once.
 
 Fitting: AdaGrad on the regularised likelihood over at most about ``train_rows`` labelled rows, picked by
-hash of the id, on the driver; whole texts. The model, ``2**bits`` floats, is sent to the executors; texts
+hash of the id, on the driver; whole texts. Copies and near copies among them count once: of rows that share
+one of three MinHash values over five-word shingles only the first is used. The model, ``2**bits`` floats, is sent to the executors; texts
 are not shuffled.
 
-Grades may be given as a column. Where labels only say toxic or not, :func:`grade_by_density` splits the
-toxic rows in two grades at the median share of words that mark them.
+Grades may be given as a column. Where labels only say toxic or not, :func:`grade_by_marks` splits the
+toxic rows in two grades at the median number of distinct words that mark them.
 
 Defined cases: null text counts as empty and gets the severity of a text without features; null ids and
 repeated rows are scored like any other; labels that are null are left out; without labels of two grades,
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, small_batches
+from ._common import BROADCAST_ROWS, Rolling, WordHash, mixed, small_batches
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -58,12 +58,31 @@ class OrdinalModel:
         return (1 / (1 + np.exp(np.clip(self.thresholds[None, :] - margin[:, None], -60, 60)))).sum(axis=1)
 
 
-def _matrix(texts: list[str | None], bits: int, least_rows: int):
-    """Row pointers, columns and values of the training rows, columns that are too rare left out."""
+class Marks(dict):
+    """Word to those of its columns that have a weight."""
+
+    def __init__(self, weights: np.ndarray, mask: int):
+        super().__init__()
+        self.weights, self.mask = weights, mask
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= 400_000:
+            self.clear()
+        x = self[word] = tuple(c for c in columns_of(word, self.mask) if self.weights[c])
+        return x
+
+    def margin(self, text: str | None) -> float:
+        found = {c for columns in filter(None, map(self.__getitem__, words_of(text))) for c in columns}
+        return float(sum(self.weights[c] for c in sorted(found)))
+
+
+def _matrix(texts: list[str | None], marked: np.ndarray, bits: int, least_rows: int, least_z: float):
+    """Rows and columns of the training texts, of columns in ``least_rows`` rows or more whose share
+    among marked rows (grade over 0) is ``least_z`` standard errors over that among all."""
     mask, cache = (1 << bits) - 1, {}
-    ptr, cols, vals = [0], [], []
-    seen = np.zeros(1 << bits, np.int64)
-    for text in texts:
+    cols = []
+    seen, hits = np.zeros(1 << bits), np.zeros(1 << bits)
+    for text, hit in zip(texts, marked):
         flat: list[int] = []
         for w in words_of(text):
             if w not in cache:
@@ -71,26 +90,46 @@ def _matrix(texts: list[str | None], bits: int, least_rows: int):
                     cache.clear()
                 cache[w] = columns_of(w, mask)
             flat += cache[w]
-        c, v = np.unique(np.array(flat, np.int64), return_counts=True)
+        c = np.unique(np.array(flat, np.int32))
         seen[c] += 1
+        hits[c] += hit
         cols.append(c)
-        vals.append(v)
-        ptr.append(ptr[-1] + len(c))
-    cols = np.concatenate(cols) if cols else np.zeros(0, np.int64)
-    vals = (np.concatenate(vals) if vals else np.zeros(0)).astype(np.float64)
-    vals[seen[cols] < least_rows] = 0
-    rows = np.repeat(np.arange(len(texts)), np.diff(ptr))
-    on = vals > 0
-    return rows[on], cols[on], vals[on]
-
-
-def fit_ordinal(texts: list[str | None], grades: np.ndarray, bits: int = 18, least_rows: int = 4, l2: float = 2e-5, steps: int = 150, rate: float = 0.3) -> OrdinalModel:
-    """Full-gradient AdaGrad on the mean negative log-likelihood plus ``l2`` / 2 |w|**2."""
+    share = marked.mean()
+    z = (hits - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+    use = (seen >= least_rows) & (z >= least_z)
+    rows = np.repeat(np.arange(len(texts)), [len(c) for c in cols])
+    cols = np.concatenate(cols)
+    on = use[cols]
+    return rows[on], cols[on].astype(np.int64)
+
+
+def distinct_rows(texts: list[str | None], k: int = 5) -> list[int]:
+    """Numbers of the rows that are no copy or near copy of an earlier one, as far as MinHash tells."""
+    hashes, taken, out = WordHash(), set(), []
+    for i, text in enumerate(texts):
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        if words:
+            roll = Rolling(hashes.array(words))
+            h = roll.of(np.arange(max(1, len(words) - k + 1)), min(k, len(words)))
+            keys = [(j, int(mixed(h + np.uint64(j)).min())) for j in range(3)]
+        else:
+            keys = [(0, -1)]
+        if taken.isdisjoint(keys):
+            out.append(i)
+        taken.update(keys)
+    return out
+
+
+def fit_ordinal(texts: list[str | None], grades: np.ndarray, bits: int = 20, least_rows: int = 10, least_z: float = 6.0, l2: float = 1e-6, steps: int = 400, rate: float = 0.5, lift: float = 8.0) -> OrdinalModel:
+    """Full-gradient AdaGrad on the mean negative log-likelihood plus ``l2`` / 2 |w|**2; rows over grade 0 count
+    ``lift`` times."""
     top = int(grades.max()) if len(grades) else 0
     w = np.zeros(1 << bits)
     if top == 0 or len(np.unique(grades)) < 2:
         return OrdinalModel(bits, w, np.full(max(top, 1), 60.0))
-    rows, cols, vals = _matrix(texts, bits, least_rows)
+    first = distinct_rows(texts)
+    texts, grades = [texts[i] for i in first], grades[first]
+    rows, cols = _matrix(texts, grades > 0, bits, least_rows, least_z)
     used, cols = np.unique(cols, return_inverse=True)
     n, d = len(texts), len(used)
     x, sum_x = np.zeros(d), np.full(d, 1e-8)
@@ -98,23 +137,25 @@ def fit_ordinal(texts: list[str | None], grades: np.ndarray, bits: int = 18, lea
     raw = np.log(share / (1 - share))
     t = np.concatenate(([raw[0]], np.log(np.maximum(np.diff(raw), 0.1))))
     sum_t = np.full(top, 1e-8)
+    heft = np.where(grades > 0, lift, 1.0)
+    heft /= heft.sum()
     for _ in range(steps):
         theta = np.cumsum(np.concatenate(([t[0]], np.exp(t[1:]))))
-        margin = np.bincount(rows, vals * x[cols], n)
+        margin = np.bincount(rows, x[cols], n)
         cdf = 1 / (1 + np.exp(-np.clip(np.concatenate(([-np.inf], theta, [np.inf]))[None, :] - margin[:, None], -60, 60)))
         cdf[:, 0], cdf[:, -1] = 0.0, 1.0
         i = np.arange(n)
         low, high = cdf[i, grades], cdf[i, grades + 1]
         p = np.maximum(high - low, 1e-12)
         slope_high, slope_low = high * (1 - high), low * (1 - low)
-        g_margin = (slope_high - slope_low) / p / n  # of the negative log-likelihood
+        g_margin = (slope_high - slope_low) / p * heft  # of the negative log-likelihood
         g_theta = np.zeros(top + 2)
-        np.add.at(g_theta, grades + 1, -slope_high / p / n)
-        np.add.at(g_theta, grades, slope_low / p / n)
+        np.add.at(g_theta, grades + 1, -slope_high / p * heft)
+        np.add.at(g_theta, grades, slope_low / p * heft)
         g_theta = g_theta[1:-1]
         back = np.cumsum(g_theta[::-1])[::-1]
         g_t = np.concatenate(([back[0]], back[1:] * np.exp(t[1:])))
-        g_x = np.bincount(cols, vals * g_margin[rows], d) + l2 * x
+        g_x = np.bincount(cols, g_margin[rows], d) + l2 * x
         sum_x += g_x**2
         sum_t += g_t**2
         x -= rate * g_x / np.sqrt(sum_x)
@@ -123,9 +164,9 @@ def fit_ordinal(texts: list[str | None], grades: np.ndarray, bits: int = 18, lea
     return OrdinalModel(bits, w, np.cumsum(np.concatenate(([t[0]], np.exp(t[1:])))))
 
 
-def grade_by_density(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
-    """Grade 0: not toxic; 1 and 2: toxic, below and from the median share of words that mark toxic rows
-    (met mostly in toxic rows: log odds over 2)."""
+def grade_by_marks(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
+    """Grade 0: not toxic; 1 and 2: toxic, below and from the median number of distinct words that mark
+    toxic rows (met mostly in toxic rows: log odds over 2)."""
     yes, no = {}, {}
     sets = [words_of(t) for t in texts]
     for s, flag in zip(sets, toxic):
@@ -134,10 +175,10 @@ def grade_by_density(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
             count[w] = count.get(w, 0) + 1
     n_yes, n_no = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
     marks = {w for w, c in yes.items() if c >= 3 and np.log((c + 0.5) / n_yes) - np.log((no.get(w, 0) + 0.5) / n_no) > 2}
-    share = np.array([len(s & marks) / max(1, len(s)) for s in sets])
+    found = np.array([len(s & marks) for s in sets])
     if not toxic.any():
         return np.zeros(len(texts), np.int64)
-    return np.where(toxic == 0, 0, np.where(share < np.median(share[toxic == 1]), 1, 2)).astype(np.int64)
+    return np.where(toxic == 0, 0, np.where(found < np.median(found[toxic == 1]), 1, 2)).astype(np.int64)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, train_rows: int, usable=None) -> tuple[list, np.ndarray]:
@@ -160,18 +201,9 @@ def score_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        weights, mask = m.weights, (1 << m.bits) - 1
-
-        class Scores(dict):
-            def __missing__(self, word: str) -> float:
-                if len(self) >= 400_000:
-                    self.clear()
-                s = self[word] = float(sum(weights[c] for c in columns_of(word, mask)))
-                return s
-
-        scores = Scores()
+        marks = Marks(m.weights, (1 << m.bits) - 1)
         for b in batches:
-            margin = np.array([sum(map(scores.__getitem__, words_of(t))) for t in b.column(1).to_pylist()], np.float64)
+            margin = np.array([marks.margin(t) for t in b.column(1).to_pylist()], np.float64)
             s = m.severity(margin)
             yield pa.record_batch([b.column(0), pa.array(s), pa.array(np.rint(s).astype(np.int32))], names=["id", "severity", "grade"])
 
@@ -182,5 +214,5 @@ def score_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str | None = None, toxic_col: str = "toxic", train_rows: int = 12_000, **kw) -> DataFrame:
     """Fit on labelled rows of ``docs`` and score all of them: (id, severity, grade)."""
     texts, marks = training_rows(docs, labels, grade_col or toxic_col, id_col, text_col, train_rows)
-    grades = marks.astype(np.int64) if grade_col else grade_by_density(texts, marks.astype(np.int64))
+    grades = marks.astype(np.int64) if grade_col else grade_by_marks(texts, marks.astype(np.int64))
     return score_severity(docs, fit_ordinal(texts, grades, **kw), id_col, text_col)
