@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
 from .clp import WILDCARD, tokens
 
 # fixed values
@@ -24,11 +25,16 @@ def infer_label(template: Column, slot: Column, var_type: Column) -> Column:
     Variables inside a token have no such place, so the labels of later slots may come from an earlier
     wildcard's surroundings; without a place the type decides.
     """
-    words = tokens(template)
-    places = F.filter(F.transform(words, lambda w, i: F.when(w == WILDCARD, i)), lambda i: i.isNotNull())
-    at = F.get(places, slot)
-    before = F.lower(F.get(words, at - 1))
-    after = F.lower(F.get(words, at + 1))
+    def place(words: Column) -> Column:
+        return F.get(F.filter(F.transform(words, lambda w, i: F.when(w == WILDCARD, i)), lambda i: i.isNotNull()), slot)
+
+    def around(words: Column) -> Column:
+        return let(place(words), lambda at: F.struct(F.lower(F.get(words, at - 1)).alias("before"), F.lower(F.get(words, at + 1)).alias("after")))
+
+    return let(let(tokens(template), around), lambda near: _label(near["before"], near["after"], slot, var_type))
+
+
+def _label(before: Column, after: Column, slot: Column, var_type: Column) -> Column:
     label = F.when(F.endswith(before, F.lit("=")), F.lower(F.regexp_replace(before, r"[^\p{IsAlphabetic}\p{N}_]", "")))
     label = label.when(before.isin(*AFTER_WORDS), F.when(var_type == "Duration", "duration").otherwise("duration_ms"))
     for word in KEYWORDS:
@@ -65,4 +71,4 @@ def truncate_token(token: Column, most: int = 50, head: int = 20, tail: int = 10
 
 
 def truncate_long_tokens(line: Column) -> Column:
-    return F.array_join(F.transform(tokens(line), truncate_token), " ")
+    return F.array_join(F.transform(tokens(line), lambda t: truncate_token(t)), " ")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
+
 # fixed values: keyword weights
 HIGH = ("ERROR", "FATAL", "PANIC", "CRIT", "CRITICAL", "SEGFAULT", "SIGKILL", "SIGSEGV", "OOM", "CRASH", "ABORT", "CORRUPT")
 MIDDLE = (
@@ -35,11 +37,13 @@ def _words(words: tuple[str, ...]) -> Column:
 
 def keyword_weight(template: Column) -> Column:
     """The largest weight of a keyword among the tokens of the template's beginning; 1.0 without any."""
-    found = prefix_tokens(template)
-    out = F
-    for words, weight in WEIGHTS:
-        out = out.when(F.arrays_overlap(found, _words(words)), weight)
-    return out.otherwise(1.0)
+    def weigh(found: Column) -> Column:
+        out = F
+        for words, weight in WEIGHTS:
+            out = out.when(F.arrays_overlap(found, _words(words)), weight)
+        return out.otherwise(1.0)
+
+    return let(prefix_tokens(template), weigh)
 
 
 def severity(weight: Column) -> Column:

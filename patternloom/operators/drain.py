@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.clp import WILDCARD, tokens
+from ..sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -118,23 +119,23 @@ def _number(founders: DataFrame) -> DataFrame:
 
 
 def assign_patterns(parsed: DataFrame, mode: str = "replay", config: DrainConfig = DrainConfig()) -> DataFrame:
-    """``parsed`` (line_number, logtype, ...) with ``pattern_id``."""
+    """``parsed`` (line_number, logtype, ...) with ``pattern_id``. ``parsed`` is read several times: stage it."""
     if mode not in ("replay", "distinct"):
         raise ValueError(f"mode is 'replay' or 'distinct', not {mode!r}")
-    coded = parsed.withColumn("__h", F.xxhash64("logtype"))
-    dictionary = coded.groupBy("__h").agg(F.first("logtype").alias("logtype"), F.min("line_number").alias("line_number"))
-    dictionary = dictionary.select(F.col("__h").alias("h"), "line_number", tokens(F.col("logtype")).alias("words"))
-    dictionary = dictionary.withColumn("token_count", F.size("words"))
+    dictionary = parsed.groupBy(F.xxhash64("logtype").alias("h")).agg(F.first("logtype").alias("logtype"), F.min("line_number").alias("line_number"))
+    dictionary = dictionary.select("h", "line_number", F.size(tokens(F.col("logtype"))).alias("token_count"), tokens(F.col("logtype")).alias("words"))
+    dictionary = stage(dictionary)
     if mode == "distinct":
-        lines = dictionary.select("token_count", "line_number", "h")
+        lines = dictionary.select(F.col("token_count").alias("tc"), "line_number", F.col("h").alias("h"))
     else:
-        lines = coded.select(F.size(tokens(F.col("logtype"))).alias("token_count"), "line_number", F.col("__h").alias("h"))
-    places = lines.groupBy("token_count").cogroup(dictionary.select("token_count", "h", "words").groupBy("token_count")).applyInPandas(_replay(config), "line_number long, founder long")
+        lines = parsed.select(F.size(tokens(F.col("logtype"))).alias("tc"), "line_number", F.xxhash64("logtype").alias("h"))
+    by_count = dictionary.select("token_count", "h", "words").groupBy("token_count")
+    places = stage(lines.groupBy("tc").cogroup(by_count).applyInPandas(_replay(config), "line_number long, founder long"))
     numbered = places.join(F.broadcast(_number(places)), "founder").select("line_number", "pattern_id")
     if mode == "replay":
-        return coded.drop("__h").join(numbered, "line_number")
-    by_type = dictionary.select(F.col("h").alias("__h"), "line_number").join(numbered, "line_number").drop("line_number")
-    return coded.join(by_type, "__h").drop("__h")
+        return parsed.join(numbered, "line_number")
+    by_type = dictionary.select("h", "line_number").join(numbered, "line_number").select("h", "pattern_id")
+    return parsed.join(by_type, F.xxhash64("logtype") == F.col("h")).drop("h")
 
 
 def templates(assigned: DataFrame) -> DataFrame:

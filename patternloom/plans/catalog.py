@@ -122,8 +122,8 @@ def clp_logtype(spark, sf_dir):
 
 
 def clp_variables(spark, sf_dir):
-    found = _parsed(spark, sf_dir).select("line_number", F.posexplode(clp.variables(F.col("stripped"))).alias("at", "var"))
-    return found.select("line_number", F.col("at").cast("long").alias("at"), "var", clp.kind(F.col("var")).alias("kind"), clp.kind(F.col("var"), 4).alias("kind4"))
+    found = _parsed(spark, sf_dir).select("line_number", F.posexplode(clp.variables(F.col("stripped"))).alias("place", "var"))
+    return found.select("line_number", F.col("place").cast("long").alias("place"), "var", clp.kind(F.col("var")).alias("kind"), clp.kind(F.col("var"), 4).alias("kind4"))
 
 
 def _distinct_vars(spark, sf_dir):
@@ -175,14 +175,14 @@ def classify_variables(spark, sf_dir):
 
 def drain_clusters(spark, sf_dir):
     """Lines of all families, clustered in order."""
-    assigned = drain.assign_patterns(_parsed(spark, sf_dir))
+    assigned = Decomposition(mixed_lines(spark, sf_dir), default_year=YEAR).assigned
     shown = extract.display_templates(drain.templates(assigned))
     return stats.pattern_stats(assigned).join(shown, "pattern_id").select("pattern_id", "template", "count", "first_line")
 
 
 def drain_documents(spark, sf_dir):
     """Document lines, each distinct logtype once."""
-    assigned = drain.assign_patterns(parse_lines(nonempty_lines(spark, sf_dir), YEAR), "distinct")
+    assigned = Decomposition(nonempty_lines(spark, sf_dir), mode="distinct", default_year=YEAR).assigned
     return stats.pattern_stats(assigned).select("pattern_id", "count", "first_line", "last_line")
 
 
@@ -351,7 +351,7 @@ t AS (SELECT *, CASE WHEN a <> '' THEN 'apache' WHEN i <> '' THEN 'iso' WHEN c <
     CASE WHEN a <> '' THEN a WHEN i <> '' THEN i WHEN c <> '' THEN c WHEN s <> '' THEN s WHEN e <> '' THEN e END AS hit FROM m),
 x AS (SELECT *, CASE family
     WHEN 'apache' THEN epoch_us(strptime(substr(a, 6, length(a) - 6), '%b %d %H:%M:%S %Y'))
-    WHEN 'iso' THEN epoch_us(CAST(i AS TIMESTAMP))
+    WHEN 'iso' THEN epoch_us(CAST(i AS TIMESTAMPTZ))
     WHEN 'common_log' THEN epoch_us(strptime(substr(c, 1, 20), '%d/%b/%Y:%H:%M:%S'))
     WHEN 'syslog' THEN epoch_us(strptime('{YEAR} ' || s, '%Y %b %d %H:%M:%S'))
     WHEN 'epoch' THEN CAST(e AS BIGINT) * 1000000 END AS ts_us,
@@ -376,12 +376,12 @@ r AS (SELECT {key}, regexp_extract_all({text}, '{_RUNS}') AS rs FROM {source}),
 p AS (SELECT {key}, i, rs[i] AS run, {_is_var()} AS is_var FROM (SELECT {key}, rs, unnest(range(1, len(rs) + 1)) AS i FROM r)),
 lt AS (SELECT {key}, string_agg(CASE WHEN is_var THEN CASE {_kind("run")} WHEN 'I' THEN chr(17) WHEN 'F' THEN chr(19) ELSE chr(18) END
        ELSE regexp_replace(run, '([\\\\\\x11\\x12\\x13])', '\\\\\\1', 'g') END, '' ORDER BY i) AS logtype FROM p GROUP BY {key}),
-v AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS at, run AS var, {_kind("run")} AS kind, {_kind("run", 4)} AS kind4 FROM p WHERE is_var)"""
+v AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS place, run AS var, {_kind("run")} AS kind, {_kind("run", 4)} AS kind4 FROM p WHERE is_var)"""
 
 
 _MIXED = f"WITH {_MIXED_TS}, {_runs('x', 'line_number', 'stripped')}"
-_DOC_LINES = r"""n AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
-d AS (SELECT row_number() OVER (ORDER BY doc_id, at) AS line_number, regexp_replace(s, '\r$', '') AS raw FROM n WHERE regexp_replace(s, '\r$', '') <> '')"""
+_DOC_LINES = r"""n AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+d AS (SELECT row_number() OVER (ORDER BY doc_id, place) AS line_number, regexp_replace(s, '\r$', '') AS raw FROM n WHERE regexp_replace(s, '\r$', '') <> '')"""
 
 
 def _classify(v: str) -> str:
@@ -420,9 +420,9 @@ ns AS (SELECT pattern_id, slot, count(*) AS num_count, sum(num) AS sum, avg(num)
        quantile_disc(num, 0.25) AS p25, quantile_disc(num, 0.5) AS p50, quantile_disc(num, 0.75) AS p75, quantile_disc(num, 0.99) AS p99 FROM v WHERE num IS NOT NULL GROUP BY ALL),
 b AS (SELECT pattern_id, us // 60000000 AS minute, count(*) AS n FROM g GROUP BY ALL),
 sp AS (SELECT min(minute) AS m0, max(minute) AS m1 FROM b),
-de AS (SELECT pc.pattern_id, minute - m0 AS at, minute, coalesce(n, 0) AS n, m1 - m0 + 1 AS len FROM pc, (SELECT *, unnest(range(m0, m1 + 1)) AS minute FROM sp) q LEFT JOIN b ON b.pattern_id = pc.pattern_id AND b.minute = q.minute),
-fr AS (SELECT pattern_id, len, sum(CASE WHEN at < floor(len * 0.9) THEN n ELSE 0 END) AS head, sum(CASE WHEN at >= floor(len * 0.9) THEN n ELSE 0 END) AS tail,
-       sum(CASE WHEN at < greatest(floor(len * 0.1), 1) THEN n ELSE 0 END) AS start, sum(CASE WHEN at >= greatest(floor(len * 0.1), 1) THEN n ELSE 0 END) AS rest FROM de GROUP BY ALL HAVING len >= 5),
+de AS (SELECT pc.pattern_id, q.minute - m0 AS place, q.minute, coalesce(n, 0) AS n, m1 - m0 + 1 AS len FROM pc, (SELECT *, unnest(range(m0, m1 + 1)) AS minute FROM sp) q LEFT JOIN b ON b.pattern_id = pc.pattern_id AND b.minute = q.minute),
+fr AS (SELECT pattern_id, len, sum(CASE WHEN place < floor(len * 0.9) THEN n ELSE 0 END) AS head, sum(CASE WHEN place >= floor(len * 0.9) THEN n ELSE 0 END) AS tail,
+       sum(CASE WHEN place < greatest(floor(len * 0.1), 1) THEN n ELSE 0 END) AS start, sum(CASE WHEN place >= greatest(floor(len * 0.1), 1) THEN n ELSE 0 END) AS rest FROM de GROUP BY ALL HAVING len >= 5),
 ra AS (SELECT pattern_id, CASE WHEN head > 0 THEN (tail / (len - floor(len * 0.9))) / (head / floor(len * 0.9)) END AS late_ratio,
        CASE WHEN rest > 0 THEN (start / greatest(floor(len * 0.1), 1)) / (rest / (len - greatest(floor(len * 0.1), 1))) END AS early_ratio FROM fr),
 an AS (SELECT pattern_id, 'FrequencySpike' AS type, NULL::BIGINT AS var_slot, NULL::BIGINT AS unique_count, least(CASE WHEN late_ratio > 3 THEN late_ratio ELSE early_ratio END / 10, 1.0) AS severity FROM ra WHERE late_ratio > 3 OR early_ratio > 3
@@ -438,8 +438,8 @@ _KEYWORDS = lambda words: " OR ".join(f"list_contains(ts, '{w}')" for w in words
 _PEARSON = "coalesce(CASE WHEN count(*) >= 2 AND count(*) * stddev_pop(a.n) * stddev_pop(b.n) >= 1e-10 THEN covar_pop(a.n, b.n) / (stddev_pop(a.n) * stddev_pop(b.n)) END, 0)"
 # labels as the words around the stand-alone wildcards give them
 _LABELS = {
-    "view": ("duration_ms", "duration", "duration", "n4"), "click": ("f1", "f2", "enum3"),
-    "error": ("duration", "ip", "n3", "duration"), "purchase": ("n1", "f2", "enum3", "id"), "signup": ("duration",),
+    "view": ("id", "duration_ms", "duration", "n4"), "click": ("var1", "f2", "enum3"),
+    "error": ("duration_ms", "ip", "n3", "duration"), "purchase": ("n1", "f2", "enum3", "id"), "signup": ("duration",),
 }
 
 SQL = {
@@ -448,7 +448,7 @@ SQL = {
     "ts_strip": f"WITH {_MIXED_TS} SELECT line_number, stripped FROM x",
     "ts_family_counts": f"WITH {_MIXED_TS} SELECT coalesce(family, 'none') AS family, count(*) AS n FROM x GROUP BY ALL",
     "clp_logtype": f"{_MIXED} SELECT line_number, logtype FROM lt",
-    "clp_variables": f"{_MIXED} SELECT line_number, at, var, kind, kind4 FROM v",
+    "clp_variables": f"{_MIXED} SELECT line_number, place, var, kind, kind4 FROM v",
     "clp_int_codec": f"{_MIXED} SELECT DISTINCT var, CAST(var AS BIGINT) AS code, var AS decoded FROM v WHERE kind = 'I'",
     "clp_float_codec": rf"""{_MIXED} SELECT DISTINCT var, CAST(regexp_replace(var, '[-.]', '', 'g') AS BIGINT) * 256 + (length(regexp_replace(var, '[-.]', '', 'g')) - 1) * 16
         + length(regexp_extract(var, '\.([0-9]*)$', 1)) - 1 AS code, var AS decoded FROM v WHERE kind = 'F'""",
@@ -470,7 +470,7 @@ SQL = {
     "value_topk": f"{_SERVICE} SELECT pattern_id, slot::BIGINT AS slot, value, n, round(pct::DOUBLE, 6) AS pct, rank FROM tk",
     "distinct_counts": f"{_SERVICE} SELECT pattern_id, slot::BIGINT AS slot, unique_count FROM st",
     "minute_buckets": f"{_SERVICE} SELECT pattern_id, minute, n FROM b",
-    "dense_buckets": f"{_SERVICE} SELECT pattern_id, count(*) AS minutes, sum(n)::BIGINT AS total, max(n) AS most, sum(n * at)::BIGINT AS moment FROM de GROUP BY pattern_id",
+    "dense_buckets": f"{_SERVICE} SELECT pattern_id, count(*) AS minutes, sum(n)::BIGINT AS total, max(n) AS most, sum(n * place)::BIGINT AS moment FROM de GROUP BY pattern_id",
     "frequency_spike_ratios": f"{_SERVICE} SELECT pattern_id, round(late_ratio, 6) AS late_ratio, round(early_ratio, 6) AS early_ratio FROM ra",
     "anomaly_rows": f"{_SERVICE} SELECT pattern_id, type, var_slot, unique_count, round(severity::DOUBLE, 6) AS severity FROM an",
     "severity_score": f"{_SERVICE} SELECT pattern_id, count, keyword_weight, severity, score FROM sr",
@@ -482,14 +482,14 @@ SQL = {
     "llm_sections": f"""{_SERVICE} SELECT * FROM (SELECT 'critical' AS section, pattern_id, score FROM sr WHERE severity IN ('error', 'warn') ORDER BY score DESC, count DESC, pattern_id LIMIT 2)
         UNION ALL SELECT * FROM (SELECT 'high', pattern_id, score FROM sr WHERE severity NOT IN ('error', 'warn') ORDER BY count DESC, pattern_id LIMIT 2)""",
     "temporal_pairs": f"""{_SERVICE} SELECT a.pattern_id AS pattern_a, b.pattern_id AS pattern_b, round(abs({_PEARSON}), 6) AS strength
-        FROM de a JOIN rk x ON x.pattern_id = a.pattern_id JOIN de b ON a.at = b.at JOIN rk y ON y.pattern_id = b.pattern_id AND x.rank < y.rank GROUP BY ALL HAVING count(*) >= 3""",
+        FROM de a JOIN rk x ON x.pattern_id = a.pattern_id JOIN de b ON a.place = b.place JOIN rk y ON y.pattern_id = b.pattern_id AND x.rank < y.rank GROUP BY ALL HAVING count(*) >= 3""",
     "shared_variables": f"""{_SERVICE}, t AS (SELECT tk.*, en.var_type, rank_p, count(*) OVER (PARTITION BY tk.pattern_id, tk.slot) AS size FROM tk JOIN en USING (pattern_id, slot) JOIN (SELECT pattern_id, rank AS rank_p FROM rk) USING (pattern_id)),
         h AS (SELECT a.pattern_id AS pattern_a, b.pattern_id AS pattern_b, a.slot AS sa, b.slot AS sb, any_value(a.var_type) AS var_type
               FROM t a JOIN t b ON a.value = b.value AND a.var_type = b.var_type AND a.rank_p < b.rank_p GROUP BY ALL HAVING count(*) / least(any_value(a.size), any_value(b.size)) > 0.05)
         SELECT pattern_a, pattern_b, 'share ' || arg_min(var_type, sa * 1000 + sb) || ' values' AS description, 0.8::DOUBLE AS strength FROM h GROUP BY ALL""",
     "error_cascade": f"""{_SERVICE}, h AS (SELECT a.pattern_id AS pattern_a, b.pattern_id AS pattern_b, lag, {_PEARSON} AS r
               FROM (SELECT *, unnest([1, 2, 3]) AS lag FROM de) a JOIN rk x ON x.pattern_id = a.pattern_id AND NOT contains(x.template, 'ERROR')
-              JOIN de b ON b.at = a.at + lag JOIN rk y ON y.pattern_id = b.pattern_id AND contains(y.template, 'ERROR') GROUP BY ALL)
+              JOIN de b ON b.place = a.place + lag JOIN rk y ON y.pattern_id = b.pattern_id AND contains(y.template, 'ERROR') GROUP BY ALL)
         SELECT pattern_a, pattern_b, 'precedes error by ~' || min(lag) || 'min' AS description, 0.9::DOUBLE AS strength FROM h WHERE r > -1 AND (SELECT max(len) FROM de) >= 6 GROUP BY pattern_a, pattern_b""",
     "infer_labels": f"{_SERVICE}, n(event_type, slot, label) AS (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {i}, {chr(39)}{x}{chr(39)})' for k, xs in _LABELS.items() for i, x in enumerate(xs))}) SELECT pattern_id, slot::BIGINT AS slot, label FROM n JOIN k USING (event_type)",
     "truncate_tokens": r"""WITH w AS (SELECT page_id, list_filter(string_split_regex(html, '[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda t: t <> '') AS ws FROM pages)

@@ -7,10 +7,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions.labels import infer_label
 from ..operators import anomalies, correlations, drain, extract, scoring, stats
+from ..sources.staging import stage
 from ..operators.parse import parse_lines
 
 
@@ -18,8 +18,8 @@ from ..operators.parse import parse_lines
 class Decomposition:
     """Tables of one analysis, each made when asked for.
 
-    ``lines``: line_number, raw. The assignment of lines to patterns feeds all of them and is kept on executors'
-    disks once it is made (``persist``); :meth:`close` lets it go.
+    ``lines``: line_number, raw. What several tables are made from is kept on the executors' disks;
+    :meth:`close` lets it go.
     """
 
     lines: DataFrame
@@ -30,10 +30,13 @@ class Decomposition:
     seed: int = 0
     config: drain.DrainConfig = drain.DrainConfig()
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return stage(parse_lines(self.lines, self.default_year))
+
     @cached_property
     def assigned(self) -> DataFrame:
-        parsed = parse_lines(self.lines, self.default_year)
-        return drain.assign_patterns(parsed, self.mode, self.config).persist(StorageLevel.DISK_ONLY)
+        return stage(drain.assign_patterns(self.parsed, self.mode, self.config))
 
     @cached_property
     def templates(self) -> DataFrame:
@@ -41,7 +44,7 @@ class Decomposition:
 
     @cached_property
     def variables(self) -> DataFrame:
-        return extract.extract_variables(self.assigned, self.templates).persist(StorageLevel.DISK_ONLY)
+        return stage(extract.extract_variables(self.assigned, self.templates))
 
     @cached_property
     def slot_values(self) -> DataFrame:
@@ -63,7 +66,7 @@ class Decomposition:
 
     @cached_property
     def dense(self) -> DataFrame:
-        return stats.dense_buckets(self.buckets, self.templates)
+        return stage(stats.dense_buckets(self.buckets, self.templates))
 
     @cached_property
     def counted(self) -> DataFrame:
@@ -91,7 +94,7 @@ class Decomposition:
         return stats.summary(self.assigned)
 
     def close(self) -> None:
-        for name in ("assigned", "templates", "variables", "slots", "patterns"):
+        for name in ("parsed", "assigned", "dense", "templates", "variables", "slots", "patterns"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
