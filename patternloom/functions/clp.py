@@ -88,7 +88,7 @@ def decode_float(code: Column, width: int = 8) -> Column:
         value, n, after = F.shiftrightunsigned(code, 8).bitwiseAND(F.lit(2**54 - 1)), F.shiftrightunsigned(code, 4).bitwiseAND(F.lit(15)), code.bitwiseAND(F.lit(15))
     else:
         value, n, after = F.shiftrightunsigned(code.bitwiseAND(F.lit(2**31 - 1)), 6), F.shiftrightunsigned(code, 3).bitwiseAND(F.lit(7)), code.bitwiseAND(F.lit(7))
-    n, after = (n + 1).cast("int"), (after + 1).cast("int")
+    n, after = F.greatest((n + 1).cast("int"), F.length(value.cast("string"))), (after + 1).cast("int")  # 17 digits overflow the field
     digits = F.lpad(value.cast("string"), n, F.lit("0"))
     return F.concat(F.when(code < 0, "-").otherwise(""), digits.substr(F.lit(1), n - after), F.lit("."), digits.substr(n - after + 1, after))
 

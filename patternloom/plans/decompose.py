@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import infer_label
 from ..operators import anomalies, correlations, drain, extract, scoring, stats
-from ..sources.staging import stage
+from ..sources.staging import drop_stage, stage
 from ..operators.parse import parse_lines
 
 
@@ -18,8 +18,8 @@ from ..operators.parse import parse_lines
 class Decomposition:
     """Tables of one analysis, each made when asked for.
 
-    ``lines``: line_number, raw. What several tables are made from is kept on the executors' disks;
-    :meth:`close` lets it go.
+    ``lines``: line_number, raw. What several tables are made from is staged in the
+    shared folder when first asked for; :meth:`close` deletes it.
     """
 
     lines: DataFrame
@@ -40,7 +40,7 @@ class Decomposition:
 
     @cached_property
     def templates(self) -> DataFrame:
-        return extract.display_templates(drain.templates(self.assigned)).persist()
+        return stage(extract.display_templates(drain.templates(self.assigned)))
 
     @cached_property
     def variables(self) -> DataFrame:
@@ -58,7 +58,7 @@ class Decomposition:
     def slots(self) -> DataFrame:
         """Slot statistics with labels."""
         rows = stats.slot_stats(self.variables, self.approximate).join(self.templates.select("pattern_id", "template"), "pattern_id")
-        return rows.withColumn("label", infer_label(F.col("template"), F.col("slot"), F.col("var_type"))).drop("template").persist()
+        return stage(rows.withColumn("label", infer_label(F.col("template"), F.col("slot"), F.col("var_type"))).drop("template"))
 
     @cached_property
     def buckets(self) -> DataFrame:
@@ -79,7 +79,7 @@ class Decomposition:
     @cached_property
     def patterns(self) -> DataFrame:
         """pattern_id, template, count, spans, keyword_weight, severity, score."""
-        return scoring.score_patterns(self.counted, self.anomalies).persist()
+        return stage(scoring.score_patterns(self.counted, self.anomalies))
 
     @cached_property
     def correlations(self) -> DataFrame:
@@ -96,7 +96,7 @@ class Decomposition:
     def close(self) -> None:
         for name in ("parsed", "assigned", "dense", "templates", "variables", "slots", "patterns"):
             if name in self.__dict__:
-                self.__dict__[name].unpersist()
+                drop_stage(self.__dict__[name])
 
 
 def decompose(lines: DataFrame, **options) -> Decomposition:

@@ -1,12 +1,37 @@
-"""Tables that several steps read."""
+"""Tables that several steps read, written once to the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.storagelevel import StorageLevel
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where the session names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="patternloom-"))
+    return _own[0]
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Keep a table on the executors' disks once it is made. What a lost executor held is made again. It also keeps
-    the optimiser from copying the table's expressions into every filter and key that is derived from them."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    """Write a table and read it from there. Later plans are short, do not copy its expressions into every filter and
+    key, and lose nothing with an executor."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete what :func:`stage` wrote."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
