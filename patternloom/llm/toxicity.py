@@ -190,7 +190,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
     draw = F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1_000_003)) / 1_000_003
     some = known.where(draw < min(1.0, train_rows / max(1, n))).select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("label"))
     some = F.broadcast(some) if train_rows <= BROADCAST_ROWS else some
-    got = docs.join(some, docs[id_col] == F.col("lid")).select("lid", F.col(text_col).alias("text"), "label").toArrow().sort_by("lid")
+    texts = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text"))
+    got = texts.join(some, F.col("did") == F.col("lid")).select("lid", "text", "label").toArrow().sort_by("lid")
     return got["text"].to_pylist(), got["label"].to_numpy()
 
 
