@@ -198,10 +198,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
 def score_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, grade): severity from 0 to the highest grade, grade the nearest one."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits weights
+    held = docs.sparkSession.sparkContext.broadcast((model.bits, model.weights, model.thresholds))  # 2**bits weights; plain values need no package to be read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = OrdinalModel(*held.value)
         marks = Marks(m.weights, (1 << m.bits) - 1)
         for b in batches:
             margin = np.array([marks.margin(t) for t in b.column(1).to_pylist()], np.float64)
