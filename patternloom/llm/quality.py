@@ -156,10 +156,11 @@ def fit_quality(texts: list[str | None], labels: np.ndarray, bits: int = 18, smo
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits weights and ratios
+    parts = (model.bits, model.ratio, model.weights, model.bias, model.slope, model.shift)  # plain values need no package to be read
+    held = docs.sparkSession.sparkContext.broadcast(parts)  # 2**bits weights and ratios
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tokens = held.value, Tokens()
+        m, tokens = QualityModel(*held.value), Tokens()
         for b in batches:
             margins = np.array([m.margin(columns_of(t, tokens, m.bits)) for t in b.column(1).to_pylist()], np.float64)
             yield pa.record_batch([b.column(0), pa.array(m.score(margins))], names=["id", "score"])
