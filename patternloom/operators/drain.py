@@ -1,28 +1,29 @@
 """Clustering logtypes into templates: a fixed-depth prefix tree with first-come-first-served clusters.
 
-Only lines with equally many tokens ever meet, so the sequential part runs per token count, as a grouped
-Python function over (line number, logtype hash) and the group's distinct logtypes; nothing else of a line
-goes there. Cluster ids are the ranks of the lines that founded the clusters, as a single pass over all
-lines would number them.
+Only lines with equally many tokens ever meet, so the sequential part runs per token count: lines travel as (number,
+logtype hash), with the words only where a logtype is met first, sorted by the shuffle, and are read as a stream. What a
+task holds grows with the clusters and with the logtypes that occur more than once, not with the lines. Cluster
+ids are the ranks of the lines that founded the clusters, as a single pass over all lines would number them.
 
 Two modes. ``replay`` goes through every line in order, which is what a single pass does. ``distinct`` goes
-through every distinct logtype once, in order of first appearance: its groups grow with the number of
+through every distinct logtype once, in order of first appearance: its streams grow with the number of
 logtypes and not of lines, so it is the one for very large inputs. The two can differ, because a template
 that has gained wildcards may no longer be similar enough to a logtype it took before.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict, defaultdict
+from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.clp import WILDCARD, tokens
-from ..sources.staging import stage
+from ..sources.lines import ranked
+from ..sources.staging import drop_stage, sized, stage
 
 
 @dataclass(frozen=True)
@@ -33,109 +34,211 @@ class DrainConfig:
 
 
 class _Cluster:
-    __slots__ = ("founder", "leaf", "template", "wild")
+    __slots__ = ("founder", "leaf", "slot", "template", "wild")
 
-    def __init__(self, founder: int, template: list[str], leaf: list):
-        self.founder, self.template, self.leaf = founder, template, leaf
+    def __init__(self, founder: int, template: list[str]):
+        self.founder, self.template = founder, template
         self.wild = template.count(WILDCARD)
 
 
+class Leaf:
+    """The clusters of a leaf, found by how many words they have in the same places.
+
+    For every place and word: the clusters that have it there, as a list of slots or, from ``few`` on, as a bit set. Counting
+    adds the bit sets up in binary, digit by digit, so all clusters of a leaf are counted at once.
+    """
+
+    few = 16
+
+    def __init__(self):
+        self.slots: list[_Cluster | None] = []
+        self.free: list[int] = []
+        self.having: dict[tuple[int, str], list[int] | int] = {}
+
+    def _put(self, key: tuple[int, str], slot: int) -> None:
+        now = self.having.get(key)
+        if now is None:
+            self.having[key] = [slot]
+        elif isinstance(now, int):
+            self.having[key] = now | 1 << slot
+        elif len(now) < self.few:
+            now.append(slot)
+        else:
+            self.having[key] = sum(1 << s for s in now) | 1 << slot
+
+    def _take(self, key: tuple[int, str], slot: int) -> None:
+        now = self.having[key]
+        if isinstance(now, int):
+            now ^= 1 << slot
+            self.having[key] = now
+        else:
+            now.remove(slot)
+        if not now:
+            del self.having[key]
+
+    def add(self, cluster: _Cluster) -> None:
+        cluster.leaf = self
+        if self.free:
+            cluster.slot = self.free.pop()
+            self.slots[cluster.slot] = cluster
+        else:
+            cluster.slot = len(self.slots)
+            self.slots.append(cluster)
+        for key in enumerate(cluster.template):
+            if key[1] != WILDCARD:
+                self._put(key, cluster.slot)
+
+    def remove(self, cluster: _Cluster) -> None:
+        for key in enumerate(cluster.template):
+            if key[1] != WILDCARD:
+                self._take(key, cluster.slot)
+        self.slots[cluster.slot] = None
+        self.free.append(cluster.slot)
+
+    def widen(self, cluster: _Cluster, words: list[str]) -> bool:
+        """Make wildcards of the places where the words differ from the cluster's template; whether there were any."""
+        changed = False
+        for at, (a, b) in enumerate(zip(cluster.template, words)):
+            if a != b and a != WILDCARD:
+                self._take((at, a), cluster.slot)
+                cluster.template[at] = WILDCARD
+                cluster.wild += 1
+                changed = True
+        return changed
+
+    def best(self, words: list[str], least: float) -> _Cluster | None:
+        """The cluster with most words in common, if their share is ``least``: of several the one with most wildcards,
+        then the oldest."""
+        n = len(words)
+        digits: list[int] = []  # of the counts of all slots, lowest first
+        for key in enumerate(words):
+            carry = self.having.get(key)
+            if carry is None or key[1] == WILDCARD:
+                continue
+            if not isinstance(carry, int):
+                carry = sum(1 << s for s in carry)
+            for d, digit in enumerate(digits):
+                digits[d], carry = digit ^ carry, digit & carry
+                if not carry:
+                    break
+            if carry:
+                digits.append(carry)
+        most, top = 0, -1
+        for d in range(len(digits) - 1, -1, -1):
+            if top & digits[d]:
+                top &= digits[d]
+                most += 1 << d
+        if most / n < least if n else False:
+            return None
+        if top < 0:  # nothing in common with any: all are alike
+            found = [c for c in self.slots if c is not None]
+        else:
+            found = []
+            while top:
+                low = top & -top
+                found.append(self.slots[low.bit_length() - 1])
+                top ^= low
+        return max(found, key=lambda c: (c.wild, -c.founder), default=None)
+
+
 class TokenCountGroup:
     """The clusters of all lines with one token count."""
 
     def __init__(self, config: DrainConfig):
         self.config = config
-        self.leaves: dict[str, list[_Cluster]] = {}
+        self.leaves: dict[str, Leaf] = {}
         self.recent: OrderedDict[int, _Cluster] = OrderedDict()
         self.version = 0  # changes whenever an assignment could
 
-    def _home(self, words: list[str]) -> list[_Cluster]:
+    def _home(self, words: list[str]) -> Leaf:
         """Where a new cluster goes: its first word's leaf, or the wildcard's when that word has digits or
         there is no room for another."""
         first = words[0] if len(words) > 1 else ""
-        if first in self.leaves or len(words) < 2:
-            return self.leaves.setdefault(first, [])
-        spare = self.config.max_children - (WILDCARD not in self.leaves)
-        plain = not any(c.isnumeric() for c in first)
-        return self.leaves.setdefault(first if plain and len(self.leaves) < spare else WILDCARD, [])
+        if first not in self.leaves and len(words) > 1:
+            spare = self.config.max_children - (WILDCARD not in self.leaves)
+            if any(c.isnumeric() for c in first) or len(self.leaves) >= spare:
+                first = WILDCARD
+        return self.leaves.setdefault(first, Leaf())
 
     def find(self, words: list[str]) -> _Cluster | None:
         first = words[0] if len(words) > 1 else ""
         leaf = self.leaves.get(first)
-        if leaf is None:
-            leaf = self.leaves.get(WILDCARD, ()) if len(words) > 1 else ()
-        best, rank = None, (-1.0, -1)
-        for c in leaf:
-            same = sum(a == b and a != WILDCARD for a, b in zip(c.template, words))
-            here = (same / len(words) if words else 1.0, c.wild)
-            if here > rank:
-                best, rank = c, here
-        return best if best is not None and rank[0] >= self.config.similarity else None
+        if leaf is None and len(words) > 1:
+            leaf = self.leaves.get(WILDCARD)
+        return None if leaf is None else leaf.best(words, self.config.similarity)
 
     def add(self, words: list[str], line: int) -> _Cluster:
         """Cluster of a line, which it joins or founds."""
         c = self.find(words)
         if c is None:
-            leaf = self._home(words)
-            c = _Cluster(line, list(words), leaf)
-            leaf.append(c)
+            c = _Cluster(line, list(words))
+            self._home(words).add(c)
             self.recent[line] = c
             self.version += 1
             if len(self.recent) > self.config.max_clusters:
                 _, gone = self.recent.popitem(last=False)
                 gone.leaf.remove(gone)
         else:
-            if c.template != words:
-                merged = [a if a == b else WILDCARD for a, b in zip(c.template, words)]
-                if merged != c.template:
-                    c.template, c.wild = merged, merged.count(WILDCARD)
-                    self.version += 1
+            self.version += c.leaf.widen(c, words)
             self.recent.move_to_end(c.founder)
         return c
 
 
 def _replay(config: DrainConfig):
-    def run(key: tuple, lines: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-        words = {h: list(w) for h, w in zip(dictionary["h"], dictionary["words"])}
-        lines = lines.sort_values("line_number", kind="stable")
-        group, known, out = TokenCountGroup(config), {}, []
-        for line, h in zip(lines["line_number"].tolist(), lines["h"].tolist()):
-            seen = known.get(h)
-            if seen is not None and seen[1] == group.version:
-                cluster = seen[0]
-                group.recent.move_to_end(cluster.founder)
-            else:
-                cluster = group.add(words[h], line)
-                known[h] = (cluster, group.version)
-            out.append(cluster.founder)
-        return pd.DataFrame({"line_number": lines["line_number"].to_numpy(), "founder": out})
-
-    return run
+    """Over rows (tc, line_number, h, words, again) sorted by tc and line_number: words where h is new, and whether it comes again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, known, dictionary = None, None, {}, {}
+        for b in batches:
+            out = []
+            for tc, line, h, words, again in zip(*(c.to_pylist() for c in b.columns)):
+                if tc != now:
+                    now, group, known, dictionary = tc, TokenCountGroup(config), {}, {}
+                if words is not None and again:
+                    dictionary[h] = words
+                seen = known.get(h)
+                if seen is not None and seen[1] == group.version:
+                    cluster = seen[0]
+                    group.recent.move_to_end(cluster.founder)
+                else:
+                    cluster = group.add(dictionary[h] if words is None else words, line)
+                    if again:
+                        known[h] = (cluster, group.version)
+                out.append(cluster.founder)
+            yield pa.record_batch([b.column(1), b.column(2), pa.array(out, pa.int64())], names=["line_number", "h", "founder"])
 
-def _number(founders: DataFrame) -> DataFrame:
-    """founder, pattern_id: founders ranked; as many rows as there are clusters."""
-    return founders.select("founder").distinct().select("founder", F.row_number().over(Window.orderBy("founder")).cast("long").alias("pattern_id"))
+    return run
 
 
 def assign_patterns(parsed: DataFrame, mode: str = "replay", config: DrainConfig = DrainConfig()) -> DataFrame:
-    """``parsed`` (line_number, logtype, ...) with ``pattern_id``. ``parsed`` is read several times: stage it."""
+    """``parsed`` (line_number, logtype, ...) with ``pattern_id``. ``parsed`` is read several times: stage it.
+
+    Logtypes whose lines are all of one pattern, which is nearly all of them, are joined by the logtype's hash, the
+    lines of the others by number; either table is broadcast only if it is small.
+    """
     if mode not in ("replay", "distinct"):
         raise ValueError(f"mode is 'replay' or 'distinct', not {mode!r}")
-    dictionary = parsed.groupBy(F.xxhash64("logtype").alias("h")).agg(F.first("logtype").alias("logtype"), F.min("line_number").alias("line_number"))
-    dictionary = dictionary.select("h", "line_number", F.size(tokens(F.col("logtype"))).alias("token_count"), tokens(F.col("logtype")).alias("words"))
-    dictionary = stage(dictionary)
-    if mode == "distinct":
-        lines = dictionary.select(F.col("token_count").alias("tc"), "line_number", F.col("h").alias("h"))
-    else:
-        lines = parsed.select(F.size(tokens(F.col("logtype"))).alias("tc"), "line_number", F.xxhash64("logtype").alias("h"))
-    by_count = dictionary.select("token_count", "h", "words").groupBy("token_count")
-    places = stage(lines.groupBy("tc").cogroup(by_count).applyInPandas(_replay(config), "line_number long, founder long"))
-    numbered = places.join(F.broadcast(_number(places)), "founder").select("line_number", "pattern_id")
+    h = F.xxhash64("logtype").alias("h")
+    words = tokens(F.col("logtype"))
+    dictionary = parsed.groupBy(h).agg(F.first("logtype").alias("logtype"), F.min("line_number").alias("line_number"), (F.count("*") > 1).alias("again"))
+    lines = dictionary.select(F.size(words).alias("tc"), "line_number", "h", words.alias("words"), F.col("again") if mode == "replay" else F.lit(False).alias("again"))
     if mode == "replay":
-        return parsed.join(numbered, "line_number")
-    by_type = dictionary.select("h", "line_number").join(numbered, "line_number").select("h", "pattern_id")
-    return parsed.join(by_type, F.xxhash64("logtype") == F.col("h")).drop("h")
+        lines = stage(lines, "dictionary")
+        first = lines.where("again").select(F.col("h").alias("h1"), "tc", F.col("line_number").alias("first"))
+        later = parsed.select("line_number", h).join(sized(first), F.col("h") == F.col("h1")).where(F.col("line_number") != F.col("first"))
+        later = later.select("tc", "line_number", "h", F.lit(None).cast("array<string>").alias("words"), F.lit(True).alias("again"))
+        lines = lines.unionByName(later)
+    in_order = lines.repartition("tc").sortWithinPartitions("tc", "line_number")
+    places = stage(in_order.mapInArrow(_replay(config), "line_number long, h long, founder long"), "places")
+    numbers = stage(ranked(places.select("founder").distinct(), "founder").select("founder", F.col("rank").alias("pattern_id")), "numbers")
+    by_type = places.groupBy("h").agg(F.min("founder").alias("founder"), F.max("founder").alias("other"))
+    by_type = stage(by_type.join(sized(numbers), "founder").select("h", F.when(F.col("founder") == F.col("other"), F.col("pattern_id")).alias("pattern_id")), "by-type")
+    mixed = places.join(by_type.where("pattern_id IS NULL").select("h"), "h", "left_semi")
+    by_line = stage(mixed.join(sized(numbers), "founder").select(F.col("line_number").alias("n1"), F.col("pattern_id").alias("p1")), "by-line")
+    out = parsed.join(sized(by_type.where("pattern_id IS NOT NULL")), F.xxhash64("logtype") == F.col("h"), "left").drop("h")
+    out = out.join(sized(by_line), F.col("line_number") == F.col("n1"), "left").withColumn("pattern_id", F.coalesce("pattern_id", "p1")).drop("n1", "p1")
+    drop_stage(places, numbers)
+    return out
 
 
 def templates(assigned: DataFrame) -> DataFrame:

@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .staging import stage
+from .staging import partitions_for, stage
 
 
-def number_lines(lines: DataFrame, *order: str | Column) -> DataFrame:
-    """Number ``lines`` (raw, and the columns of ``order``) in that order, without one task seeing them all.
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``rank``, from 1 in that order, without one task seeing them all.
 
-    Rows are range-partitioned and sorted by the order; each row's number is its place in its partition plus the
-    sizes of the partitions before, of which there are as many as shuffle partitions. The sorted rows are staged, so
+    Rows are range-partitioned and sorted by the order; each row's rank is its place in its partition plus the
+    sizes of the partitions before, of which there are as many as partitions. The sorted rows are staged, so
     that sizes and places come from one and the same partitioning.
     """
-    spark = lines.sparkSession
+    sorted_ = rows.repartitionByRange(partitions_for(rows), *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    local = stage(sorted_.select("*", F.spark_partition_id().alias("__part"), at.alias("__at")), "sorted")
+    sizes = local.groupBy("__part").agg(F.count("*").alias("size"))
+    before = sizes.select(F.col("__part"), (F.sum("size").over(Window.orderBy("__part")) - F.col("size")).alias("__before"))
+    return local.join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
+def number_lines(lines: DataFrame, *order: str | Column) -> DataFrame:
+    """Number the lines of ``lines`` (raw, and the columns of ``order``) that are not empty, in that order."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     names = [f"__k{i}" for i in range(len(cols))]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = lines.where(F.length("raw") > 0).select("raw", *[c.alias(n) for c, n in zip(cols, names)])
-    sorted_ = keyed.repartitionByRange(parts, *names).sortWithinPartitions(*names)
-    local = stage(sorted_.select("raw", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n")))
-    sizes = local.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    return local.join(F.broadcast(before), "part").select((F.col("before") + F.col("n")).alias("line_number"), "raw")
+    return ranked(keyed, *names).select(F.col("rank").alias("line_number"), "raw")
 
 
 def read_log_files(spark: SparkSession, *paths: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import clp
 from ..functions.timestamps import extract_timestamp, strip_timestamp
-from ..operators.drain import DrainConfig, TokenCountGroup, _Cluster
+from ..operators.drain import DrainConfig, Leaf, TokenCountGroup, _Cluster
 
 
 def parse_stream(lines: DataFrame, default_year: int | None = None) -> DataFrame:
@@ -32,9 +32,8 @@ def minute_counts(parsed: DataFrame, late: str = "10 minutes") -> DataFrame:
 def _load(state: str, config: DrainConfig) -> TokenCountGroup:
     group = TokenCountGroup(config)
     for first, founder, words in json.loads(state):
-        leaf = group.leaves.setdefault(first, [])
-        cluster = _Cluster(founder, words, leaf)
-        leaf.append(cluster)
+        cluster = _Cluster(founder, words)
+        group.leaves.setdefault(first, Leaf()).add(cluster)
         group.recent[founder] = cluster
     return group
 
