@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import has_error_token
+from .stats import minute_span
 
 # fixed values: severities
 HIGH_ERROR_RATE, LOW_CARDINALITY, CLUSTERED, BIMODAL = 0.9, 0.6, 0.5, 0.4
@@ -20,25 +21,29 @@ def _rows(found: DataFrame, kind: str, severity: Column, description: Column, sl
     )
 
 
-def spike_ratios(dense: DataFrame) -> DataFrame:
+def spike_ratios(buckets: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """pattern_id, late_ratio, early_ratio: rate of the last tenth of minutes over that before, and of the first
-    tenth over the rest; null where the lower rate is zero or there are fewer than five minutes."""
-    sizes = dense.groupBy().agg((F.max("at") + 1).alias("len"))
-    rows = dense.join(F.broadcast(sizes)).where("len >= 5")
+    tenth over the rest; null where the lower rate is zero. No rows if there are fewer than five minutes. Minutes without
+    lines count by the span's length; they need no rows."""
+    span = F.broadcast(minute_span(buckets).where("len >= 5"))
+    rows = buckets.join(span).withColumn("at", F.col("minute") - F.col("first"))
     split = F.floor(F.col("len") * 0.9)
-    first = F.greatest(F.floor(F.col("len") * 0.1), F.lit(1))
+    begin = F.greatest(F.floor(F.col("len") * 0.1), F.lit(1))
     part = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    sums = rows.groupBy("pattern_id", "len").agg(
-        part(F.col("at") < split).alias("head"), part(F.col("at") >= split).alias("tail"), part(F.col("at") < first).alias("begin"), part(F.col("at") >= first).alias("rest")
+    sums = rows.groupBy("pattern_id").agg(
+        part(F.col("at") < split).alias("head"), part(F.col("at") >= split).alias("tail"), part(F.col("at") < begin).alias("begin"), part(F.col("at") >= begin).alias("rest")
     )
+    if patterns is not None:
+        sums = patterns.select("pattern_id").distinct().join(sums, "pattern_id", "left").fillna(0, ["head", "tail", "begin", "rest"])
+    sums = sums.join(span)
     rate = lambda c, n: F.try_divide(F.col(c).cast("double"), n.cast("double"))
     late = F.when(F.col("head") > 0, F.try_divide(rate("tail", F.col("len") - split), rate("head", split)))
-    early = F.when(F.col("rest") > 0, F.try_divide(rate("begin", first), rate("rest", F.col("len") - first)))
+    early = F.when(F.col("rest") > 0, F.try_divide(rate("begin", begin), rate("rest", F.col("len") - begin)))
     return sums.select("pattern_id", late.alias("late_ratio"), early.alias("early_ratio"))
 
 
-def frequency_spikes(dense: DataFrame, factor: float = 3.0) -> DataFrame:
-    ratios = spike_ratios(dense)
+def frequency_spikes(buckets: DataFrame, factor: float = 3.0) -> DataFrame:
+    ratios = spike_ratios(buckets)
     late = F.col("late_ratio") > factor
     ratio = F.when(late, F.col("late_ratio")).when(F.col("early_ratio") > factor, F.col("early_ratio"))
     found = ratios.select("pattern_id", ratio.alias("ratio"), F.coalesce(late, F.lit(False)).alias("late")).where("ratio IS NOT NULL")
@@ -66,9 +71,9 @@ def bimodal(slots: DataFrame, least: int = 50, ratio: float = 5.0) -> DataFrame:
     return _rows(found, "BimodalDistribution", F.lit(BIMODAL), F.format_string("slot %d has quartiles far apart", "slot"), slot=True)
 
 
-def detect_anomalies(patterns: DataFrame, slots: DataFrame, dense: DataFrame) -> DataFrame:
+def detect_anomalies(patterns: DataFrame, slots: DataFrame, buckets: DataFrame) -> DataFrame:
     """All of them, one row each."""
-    parts = (frequency_spikes(dense), error_patterns(patterns), low_cardinality(patterns, slots), clustered_numeric(slots), bimodal(slots))
+    parts = (frequency_spikes(buckets), error_patterns(patterns), low_cardinality(patterns, slots), clustered_numeric(slots), bimodal(slots))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -76,5 +81,3 @@ def by_pattern(anomalies: DataFrame) -> DataFrame:
     """Patterns with anomalies, the most severe first: pattern_id, max_severity, anomalies."""
     items = F.array_sort(F.collect_list(F.struct((-F.col("severity")).alias("order"), "type", "var_slot", "severity", "description")))
     return anomalies.groupBy("pattern_id").agg(F.max("severity").alias("max_severity"), items.alias("anomalies")).orderBy(F.desc("max_severity"), "pattern_id")
-
-

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.timestamps import minute
 from ..functions.variables import declaration_order
+from ..sources.staging import partitions_for, stage
 
 SLOT = ["pattern_id", "slot"]
 #: Quantiles that slots carry.
@@ -46,19 +47,39 @@ def distinct_counts(variables: DataFrame, approximate: bool = False) -> DataFram
     return slot_values(variables).groupBy(*SLOT).agg(F.count("*").alias("unique_count"))
 
 
-def quantile(q: float, approximate: bool = False, accuracy: int = 10_000) -> Column:
-    """Lower-rank quantile of ``num``: exact, or within a rank error of 1 / accuracy."""
-    return F.percentile_approx("num", F.lit(q), F.lit(accuracy)) if approximate else F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY num)")
-
-
-def numeric_stats(variables: DataFrame, approximate: bool = False) -> DataFrame:
-    """pattern_id, slot, num_count, sum, mean, min, max, p25, p50, p75, p99 of the values that are numbers."""
+def _exact_quantiles(numbers: DataFrame, names: list[str]) -> DataFrame:
+    """pattern_id, slot and the lower-rank quantiles of ``num``, in ``names``.
+
+    Counts of the distinct values are range-partitioned by slot and value and staged; sums for each slot and partition
+    tell where a quantile's rank lies, and only there are counts added up value by value. So a slot's values may fill
+    any number of partitions.
+    """
+    counts = numbers.groupBy(*SLOT, "num").agg(F.count("*").alias("n"))
+    rows = counts.repartitionByRange(partitions_for(counts), *SLOT, "num").withColumn("part", F.spark_partition_id())
+    rows = stage(rows, "value-counts")
+    before = Window.partitionBy(*SLOT).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*SLOT, "part").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    parts = parts.join(numbers.groupBy(*SLOT).agg(F.count("*").alias("total")), SLOT)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), F.greatest(F.ceil(q * F.col("total")), F.lit(1)).alias("rank")) for q, name in zip(QUANTILES, names)]))
+    places = parts.select(*SLOT, "part", "m", "before", wanted.alias("w")).where("w.rank > before AND w.rank <= before + m")
+    places = places.select(*SLOT, "part", F.col("w.q").alias("q"), (F.col("w.rank") - F.col("before")).alias("rank"))
+    some = rows.join(places.select(*SLOT, "part").distinct(), [*SLOT, "part"], "left_semi")
+    upto = Window.partitionBy(*SLOT, "part").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
+    some = some.withColumn("upto", F.sum("n").over(upto)).join(places, [*SLOT, "part"]).where("upto >= rank")
+    least = some.groupBy(*SLOT, "q").agg(F.min("num").alias("num"))
+    return least.groupBy(*SLOT).agg(*[F.max(F.when(F.col("q") == name, F.col("num"))).alias(name) for name in names])
+
+
+def numeric_stats(variables: DataFrame, approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """pattern_id, slot, num_count, sum, mean, min, max, p25, p50, p75, p99 of the values that are numbers. Quantiles are
+    lower-rank ones: exact, or within a rank error of 1 / ``accuracy``."""
     numbers = variables.where("num IS NOT NULL")
     names = [f"p{round(q * 100)}" for q in QUANTILES]
-    return numbers.groupBy(*SLOT).agg(
-        F.count("*").alias("num_count"), F.sum("num").alias("sum"), F.avg("num").alias("mean"), F.min("num").alias("min"), F.max("num").alias("max"),
-        *[quantile(q, approximate).cast("double").alias(n) for q, n in zip(QUANTILES, names)],
+    close = [F.percentile_approx("num", F.lit(q), F.lit(accuracy)).cast("double").alias(n) for q, n in zip(QUANTILES, names)] if approximate else []
+    rows = numbers.groupBy(*SLOT).agg(
+        F.count("*").alias("num_count"), F.sum("num").alias("sum"), F.avg("num").alias("mean"), F.min("num").alias("min"), F.max("num").alias("max"), *close
     )
+    return rows if approximate else rows.join(_exact_quantiles(numbers.select(*SLOT, F.col("num").cast("double").alias("num")), names), SLOT)
 
 
 def majority_type(variables: DataFrame) -> DataFrame:
@@ -90,12 +111,17 @@ def minute_buckets(assigned: DataFrame) -> DataFrame:
     return assigned.where("ts IS NOT NULL").groupBy("pattern_id", minute(F.col("ts")).alias("minute")).agg(F.count("*").alias("n"))
 
 
+def minute_span(buckets: DataFrame) -> DataFrame:
+    """One row: the first minute of all, and ``len``, the number of minutes from there to the last; none without minutes."""
+    return buckets.agg(F.min("minute").alias("first"), (F.max("minute") - F.min("minute") + 1).alias("len")).where("first IS NOT NULL")
+
+
 def dense_buckets(buckets: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """Every pattern and every minute from the first to the last of all: pattern_id, at (from 0), minute, n (0 where
-    there are none). The one row of bounds is joined to the distinct patterns."""
+    there are none). The one row of bounds is joined to the distinct patterns. For those who want the vectors:
+    spikes and correlations are computed from the minutes that have lines."""
     ids = (buckets if patterns is None else patterns).select("pattern_id").distinct()
-    span = buckets.agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
-    grid = ids.join(F.broadcast(span)).where("a IS NOT NULL").select("pattern_id", F.posexplode(F.sequence("a", "b")).alias("at", "minute"))
+    grid = ids.join(F.broadcast(minute_span(buckets))).select("pattern_id", F.posexplode(F.sequence("first", F.col("first") + F.col("len") - 1)).alias("at", "minute"))
     return grid.join(buckets, ["pattern_id", "minute"], "left").select("pattern_id", "at", "minute", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -7,6 +7,8 @@ can name without mining them.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..operators.parse import logtype_counts, parse_lines
 from ..reports.model import Options, gather
 from ..reports.render import json_text
 from ..sources.lines import lines_of_column
+from ..sources.staging import finished
 from .decompose import Decomposition
 
 YEAR = 2024
@@ -262,7 +265,8 @@ def reservoir_examples(spark, sf_dir):
 
 
 def frequency_spike_ratios(spark, sf_dir):
-    return _round(anomalies.spike_ratios(_analysis(spark, sf_dir).dense), "late_ratio", "early_ratio")
+    d = _analysis(spark, sf_dir)
+    return _round(anomalies.spike_ratios(d.buckets, d.templates), "late_ratio", "early_ratio")
 
 
 def anomaly_rows(spark, sf_dir):
@@ -296,7 +300,7 @@ def llm_sections(spark, sf_dir):
 def temporal_pairs(spark, sf_dir):
     """Pearson's r of every pair of patterns, before the threshold."""
     d = _analysis(spark, sf_dir)
-    return _round(correlations.temporal(d.dense, correlations.candidates(d.counted), -1.0), "strength").select("pattern_a", "pattern_b", "strength")
+    return _round(correlations.temporal(d.buckets, correlations.candidates(d.counted), -1.0), "strength").select("pattern_a", "pattern_b", "strength")
 
 
 def shared_variables(spark, sf_dir):
@@ -307,7 +311,7 @@ def shared_variables(spark, sf_dir):
 def error_cascade(spark, sf_dir):
     """With the threshold at -1, so that every pair of a pattern and an error pattern has its first lag."""
     d = _analysis(spark, sf_dir)
-    return correlations.error_cascades(d.dense, correlations.candidates(d.counted), -1.0).select("pattern_a", "pattern_b", "description", "strength")
+    return correlations.error_cascades(d.buckets, correlations.candidates(d.counted), -1.0).select("pattern_a", "pattern_b", "description", "strength")
 
 
 def correlation_report(spark, sf_dir):
@@ -402,12 +406,15 @@ def _num(v: str, kind: str) -> str:
         WHEN {kind} IN ('Integer', 'Float') THEN TRY_CAST({v} AS DOUBLE) END"""
 
 
-_TEMPLATES = " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in _SHOWN.items())
-_SERVICE = f"""WITH l AS ({SERVICE}),
-k AS (SELECT event_type, row_number() OVER (ORDER BY min(line_number)) AS pattern_id, CASE event_type {_TEMPLATES} END AS template FROM l GROUP BY event_type),
+def chain(lines: str, shown: dict[str, str], slots: dict[str, tuple[str, ...]], low: str = "DEBUG") -> str:
+    """The tables of an analysis of ``lines`` (line_number, event_type, raw and what the slots' expressions read), whose event
+    types have the templates ``shown`` and the variables ``slots``. ``low``: the keyword of debug lines."""
+    named = " ".join(f"WHEN '{k}' THEN {t}" for k, t in shown.items())
+    return f"""WITH l AS ({lines}),
+k AS (SELECT event_type, row_number() OVER (ORDER BY min(line_number)) AS pattern_id, CASE event_type {named} END AS template FROM l GROUP BY event_type),
 g AS (SELECT l.*, pattern_id, template, epoch_us(CAST(substr(raw, 1, 24) AS TIMESTAMP)) AS us FROM l JOIN k USING (event_type)),
 pc AS (SELECT pattern_id, any_value(template) AS template, count(*) AS count, min(line_number) AS first_line, max(line_number) AS last_line, min(us) AS first_us, max(us) AS last_us FROM g GROUP BY pattern_id),
-v0 AS ({" UNION ALL ".join(f"SELECT line_number, pattern_id, {i} AS slot, {e} AS raw FROM g WHERE event_type = '{k}'" for k, es in _SLOTS.items() for i, e in enumerate(es))}),
+v0 AS ({" UNION ALL ".join(f"SELECT line_number, pattern_id, {i} AS slot, {e} AS raw FROM g WHERE event_type = '{k}'" for k, es in slots.items() for i, e in enumerate(es))}),
 v1 AS (SELECT *, {_classify("raw")} AS var_type FROM v0),
 v AS (SELECT *, {_num("raw", "var_type")} AS num FROM v1),
 sv AS (SELECT pattern_id, slot, raw AS value, count(*) AS n FROM v GROUP BY ALL),
@@ -430,10 +437,13 @@ an AS (SELECT pattern_id, 'FrequencySpike' AS type, NULL::BIGINT AS var_slot, NU
        UNION ALL SELECT pattern_id, 'LowCardinality', slot, unique_count, 0.6 FROM st JOIN pc USING (pattern_id) WHERE count > 100 AND unique_count < 5
        UNION ALL SELECT pattern_id, 'ClusteredNumeric', slot, NULL, 0.5 FROM ns WHERE num_count > 50 AND mean > 0 AND (max - min) / mean < 0.05
        UNION ALL SELECT pattern_id, 'BimodalDistribution', slot, NULL, 0.4 FROM ns WHERE num_count > 50 AND p25 > 0 AND p75 / p25 > 5),
-sc AS (SELECT pattern_id, any_value(template) AS template, any_value(count) AS count, any_value(CASE WHEN contains(template, 'ERROR') THEN 10.0 WHEN contains(template, 'WARN') THEN 5.0 WHEN contains(template, 'DEBUG') THEN 0.1 ELSE 1.0 END) AS w, coalesce(max(severity), 0) AS worst FROM pc LEFT JOIN an USING (pattern_id) GROUP BY pattern_id),
+sc AS (SELECT pattern_id, any_value(template) AS template, any_value(count) AS count, any_value(CASE WHEN contains(template, 'ERROR') THEN 10.0 WHEN contains(template, 'WARN') THEN 5.0 WHEN contains(template, '{low}') THEN 0.1 ELSE 1.0 END) AS w, coalesce(max(severity), 0) AS worst FROM pc LEFT JOIN an USING (pattern_id) GROUP BY pattern_id),
 sr AS (SELECT pattern_id, template, count, w::DOUBLE AS keyword_weight, CASE WHEN w >= 10 THEN 'error' WHEN w >= 5 THEN 'warn' WHEN w <= 0.1 THEN 'debug' ELSE 'info' END AS severity, round((count * w * (1 + worst))::DOUBLE, 6) AS score FROM sc),
 rk AS (SELECT pattern_id, template, row_number() OVER (ORDER BY count DESC, pattern_id) AS rank FROM pc)
 """
+
+
+_SERVICE = chain(SERVICE, {k: f"'{t}'" for k, t in _SHOWN.items()}, _SLOTS)
 _KEYWORDS = lambda words: " OR ".join(f"list_contains(ts, '{w}')" for w in words)
 _PEARSON = "coalesce(CASE WHEN count(*) >= 2 AND count(*) * stddev_pop(a.n) * stddev_pop(b.n) >= 1e-10 THEN covar_pop(a.n, b.n) / (stddev_pop(a.n) * stddev_pop(b.n)) END, 0)"
 # labels as the words around the stand-alone wildcards give them
@@ -506,7 +516,17 @@ def queries() -> dict:
         minute_buckets, dense_buckets, reservoir_examples, frequency_spike_ratios, anomaly_rows, severity_score, keyword_weight, topn_patterns, llm_sections,
         temporal_pairs, shared_variables, error_cascade, correlation_report, infer_labels, truncate_tokens, decompose_full, decompose_json,
     )
-    return {f.__name__: f for f in fs}
+    return {f.__name__: _alone(f) for f in fs}
+
+
+def _alone(query):
+    """The query with its result staged, and what was staged for it deleted."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return finished(lambda: query(spark, sf_dir), query.__name__)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

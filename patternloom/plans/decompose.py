@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import infer_label
 from ..operators import anomalies, correlations, drain, extract, scoring, stats
-from ..sources.staging import drop_stage, stage
 from ..operators.parse import parse_lines
+from ..sources.staging import collecting, drop_paths, stage
+
+
+def _step(make):
+    """A cached property; the tables that making it stages belong to the analysis."""
+
+    @wraps(make)
+    def run(self):
+        with collecting(self._staged):
+            return make(self)
+
+    return cached_property(run)
 
 
 @dataclass
@@ -29,74 +40,74 @@ class Decomposition:
     approximate: bool = False
     seed: int = 0
     config: drain.DrainConfig = drain.DrainConfig()
+    _staged: list[str] = field(default_factory=list, init=False, repr=False)
 
-    @cached_property
+    @_step
     def parsed(self) -> DataFrame:
         return stage(parse_lines(self.lines, self.default_year))
 
-    @cached_property
+    @_step
     def assigned(self) -> DataFrame:
         return stage(drain.assign_patterns(self.parsed, self.mode, self.config))
 
-    @cached_property
+    @_step
     def templates(self) -> DataFrame:
         return stage(extract.display_templates(drain.templates(self.assigned)))
 
-    @cached_property
+    @_step
     def variables(self) -> DataFrame:
         return stage(extract.extract_variables(self.assigned, self.templates))
 
-    @cached_property
+    @_step
     def slot_values(self) -> DataFrame:
         return stats.slot_values(self.variables)
 
-    @cached_property
+    @_step
     def top_values(self) -> DataFrame:
         return stats.top_values(self.slot_values)
 
-    @cached_property
+    @_step
     def slots(self) -> DataFrame:
         """Slot statistics with labels."""
         rows = stats.slot_stats(self.variables, self.approximate).join(self.templates.select("pattern_id", "template"), "pattern_id")
         return stage(rows.withColumn("label", infer_label(F.col("template"), F.col("slot"), F.col("var_type"))).drop("template"))
 
-    @cached_property
+    @_step
     def buckets(self) -> DataFrame:
-        return stats.minute_buckets(self.assigned)
+        return stage(stats.minute_buckets(self.assigned))
 
-    @cached_property
+    @_step
     def dense(self) -> DataFrame:
         return stage(stats.dense_buckets(self.buckets, self.templates))
 
-    @cached_property
+    @_step
     def counted(self) -> DataFrame:
         return stats.pattern_stats(self.assigned).join(self.templates.select("pattern_id", "template"), "pattern_id")
 
-    @cached_property
+    @_step
     def anomalies(self) -> DataFrame:
-        return anomalies.detect_anomalies(self.counted, self.slots, self.dense)
+        return anomalies.detect_anomalies(self.counted, self.slots, self.buckets)
 
-    @cached_property
+    @_step
     def patterns(self) -> DataFrame:
         """pattern_id, template, count, spans, keyword_weight, severity, score."""
         return stage(scoring.score_patterns(self.counted, self.anomalies))
 
-    @cached_property
+    @_step
     def correlations(self) -> DataFrame:
-        return correlations.find_correlations(self.counted, self.slots, self.top_values, self.dense)
+        return correlations.find_correlations(self.counted, self.slots, self.top_values, self.buckets)
 
-    @cached_property
+    @_step
     def examples(self) -> DataFrame:
         return stats.sample_lines(self.assigned, self.context, self.seed)
 
-    @cached_property
+    @_step
     def summary(self) -> DataFrame:
         return stats.summary(self.assigned)
 
     def close(self) -> None:
-        for name in ("parsed", "assigned", "dense", "templates", "variables", "slots", "patterns"):
-            if name in self.__dict__:
-                drop_stage(self.__dict__[name])
+        """Delete all staged tables; no table of the analysis can be read any more."""
+        drop_paths(self._staged)
 
 
 def decompose(lines: DataFrame, **options) -> Decomposition:
