@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from patternloom.plans import catalog
+from patternloom.plans import catalog, incidents
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+QUERIES, SQL = catalog.queries() | incidents.queries(), catalog.oracle_sql() | incidents.oracle_sql()
 
 
 def plain(v):
