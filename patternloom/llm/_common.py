@@ -3,63 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
-from contextlib import contextmanager
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import drop_stage as discard
+from ..sources.staging import finished, partitions_for, sized
+from ..sources.staging import stage as shared_table
+
+__all__ = ["discard", "finished", "partitions_for", "shared_table", "sized"]
+
 #: Ids below this count are broadcast (8 bytes each); above it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="patternloom-"))
-    return _own_dir[0]
-
-
-@contextmanager
-def _shuffle_files_go(spark: SparkSession):
-    """The write's shuffle files are removed as soon as it has ended."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffle_files_go(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`shared_table` that nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._shared_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
