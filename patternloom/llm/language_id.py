@@ -8,10 +8,13 @@ The posterior of a row's language is proportional to
   standing in three trigrams. The tables are fitted on a sample of labelled rows of about
   ``rows_per_language`` a language, which bounds nothing but the fit.
 * Host prior: sums of the text posteriors over all rows, grouped by host and smoothed along the hierarchy
-  global, address suffix, site (last two labels), host, each level with ``weight`` rows' worth of its parent.
+  global, address suffix, site (last two labels), host, each level with ``weight`` rows' worth of its parent. A host
+  of one label, such as the name of a source, has the levels global and host only.
 * Declared language: how often each declared value goes with each language, from the same sums over all
   rows, smoothed towards "says nothing".
 
+Sums are taken without the row that they are used for, so no row's text counts twice.
+
 A further class "und" has uniform trigrams and a small prior; text that no language explains better than
 that, text without letters, and posteriors under ``least`` are rejected.
 
@@ -20,7 +23,8 @@ are not shuffled.
 
 Defined cases: null text is empty, has language null and is rejected; null or missing host and declared
 language leave those factors out (global prior); null ids and repeated rows are reported like any other;
-an empty table gives no rows; other columns are not touched.
+an empty table gives no rows; without a single labelled row there is no language to find, all text is "und" and is
+rejected by :func:`identify`, while :func:`keep_identified` keeps all rows; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -84,33 +88,57 @@ def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     return TextModel(languages, np.vstack([table, np.full((1, BUCKETS), -np.log(BUCKETS))]).astype(np.float32))
 
 
-def _text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
-    """``rows`` (id, host, declared, text) with ``e``: log P(text | language) / 3 less the largest; null without letters."""
+def _start(size: int, unknown: float) -> np.ndarray:
+    """Log prior of the languages and "und" before any host is known."""
+    return np.log([*[(1 - unknown) / max(1, size - 1)] * (size - 1), unknown])
+
+
+def _text_evidence(rows: DataFrame, model: TextModel, start: np.ndarray) -> DataFrame:
+    """``rows`` (id, host, declared, text) with ``e``: log P(text | language) / 3 less the largest, and ``own``: the
+    posterior by the text alone; both null without letters."""
     table = np.ascontiguousarray(model.table.T)
     held = rows.sparkSession.sparkContext.broadcast(table)  # 2**16 times the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float64())
         for b in batches:
-            out = []
+            evidence, posterior = [], []
             for text in b.column("text").cast(pa.binary()).to_pylist():
                 if not text or not _LETTER[np.frombuffer(text, np.uint8)].any():
-                    out.append(None)
+                    evidence.append(None)
+                    posterior.append(None)
                     continue
                 grams = trigrams(text)
                 e = sum(held.value[grams[k : k + 65536]].sum(axis=0, dtype=np.float64) for k in range(0, len(grams), 65536)) / 3
-                out.append((e - e.max()).tolist())
-            yield pa.record_batch([b.column("id"), b.column("host"), b.column("declared"), pa.array(out, pa.list_(pa.float64()))], names=["id", "host", "declared", "e"])
+                e = e - e.max()
+                p = np.exp(np.maximum(e + start - (e + start).max(), -700))
+                evidence.append(e.tolist())
+                posterior.append((p / p.sum()).tolist())
+            yield pa.record_batch([b.column("id"), b.column("host"), b.column("declared"), pa.array(evidence, kind), pa.array(posterior, kind)], names=["id", "host", "declared", "e", "own"])
 
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(run, "id long, host string, declared string, e array<double>")
+    return rows.mapInArrow(run, "id long, host string, declared string, e array<double>, own array<double>")
 
 
 def _normal(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
+    top = F.array_max(F.array(*logs))
     exps = [F.exp(F.greatest(x - top, F.lit(-700.0))) for x in logs]
     return [x / reduce(add, exps) for x in exps]
 
 
+def _host_sums(hosts: DataFrame, size: int) -> DataFrame:
+    """``hosts`` (host, sums) with ``levels``: the sums of the host's address suffix, site and itself, widest first."""
+    label = F.split("host", r"\.")
+    many = F.size(label) > 1
+    tree = hosts.withColumns({"suffix": F.when(many, F.element_at(label, -1)), "site": F.when(many, F.array_join(F.slice(label, -2, 2), "."))})
+    for level in ("suffix", "site"):
+        total = F.array(*[F.sum(F.col("sums")[i]) for i in range(size)])
+        own = tree.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("k")).agg(total.alias(f"{level}_sums"))
+        tree = tree.join(own, F.col(level) == F.col("k"), "left").drop("k")
+    levels = F.array_compact(F.array("suffix_sums", "site_sums", "sums"))
+    return tree.select(F.col("host").alias("h"), levels.alias("levels"))
+
+
 def identify(rows: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, declared_col: str | None = None, weight: float = 20.0, least: float = 0.5, unknown: float = 1e-3) -> DataFrame:
     """id, lang, probability, accepted, and the languages' posteriors as a map, for every row."""
     none = F.lit(None).cast("string")
@@ -122,36 +150,36 @@ def identify(rows: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     )
     names = [*model.languages, "und"]
     size = len(names)
-    scored = shared_table(_text_evidence(rows, model), "text-evidence")
-    e = [F.col("e")[i] for i in range(size)]
-    start = [F.log(F.lit(unknown if k == "und" else (1 - unknown) / max(1, size - 1))) for k in names]
-    p = [f"p{i}" for i in range(size)]
-    posterior = scored.where("e is not null").select("host", "declared", *[x.alias(c) for x, c in zip(_normal([a + b for a, b in zip(e, start)]), p)])
-    sums = [F.sum(c).alias(c) for c in p]
-    hosts = shared_table(posterior.where("host is not null").groupBy("host").agg(*sums), "hosts")
-    declared = shared_table(posterior.groupBy("declared").agg(*sums), "declared")
-    whole = declared.agg(*sums).first()
-    total = np.array([x or 0.0 for x in whole]) if whole else np.zeros(size)
-    world = (total + 1.0 / size) / (total.sum() + 1.0)
-
-    label = F.split("host", r"\.")
-    levels = {"suffix": F.element_at(label, -1), "site": F.array_join(F.slice(label, -F.least(F.lit(2), F.size(label)), 2), ".")}
-    smooth = lambda own, parent: [(F.coalesce(F.col(f"{own}{c}"), F.lit(0.0)) + weight * x) / (reduce(add, [F.coalesce(F.col(f"{own}{k}"), F.lit(0.0)) for k in p]) + weight) for c, x in zip(p, parent)]
-    tree = hosts.withColumns(levels)
-    for level in levels:
-        own = tree.groupBy(level).agg(*[F.sum(c).alias(f"{level}_{c}") for c in p])
-        tree = tree.join(own, level)
-    prior = smooth("", smooth("site_", smooth("suffix_", [F.lit(float(x)) for x in world])))
-    prior = shared_table(tree.select("host", F.array(*[F.log(x) for x in prior]).alias("prior")), "host-priors")
-    # P(declared | language), each language's own share smoothed towards the share among all rows
-    n_all = float(max(total.sum(), 1e-9))
-    share = reduce(add, [F.col(c) for c in p]) / n_all
-    said = [F.log((F.col(c) + weight * share) / (float(t) + weight)) for c, t in zip(p, total)]
-    said = declared.where("declared <> ''").select("declared", F.array(*said).alias("said"))
-
-    out = scored.join(prior, "host", "left").join(said, "declared", "left")
-    flat = F.array(*[F.lit(float(np.log(x))) for x in world])
-    logs = [F.coalesce(F.col("prior"), flat)[i] + F.coalesce(F.col("said")[i], F.lit(0.0)) + F.coalesce(F.col("e")[i], F.lit(0.0)) for i in range(size)]
+    scored = shared_table(_text_evidence(rows, model, _start(size, unknown)), "text-evidence")
+    sums = F.array(*[F.sum(F.col("own")[i]) for i in range(size)]).alias("sums")
+    lettered = scored.where("own is not null")
+    hosts = shared_table(lettered.where("host is not null").groupBy("host").agg(sums), "hosts")
+    said = shared_table(lettered.groupBy("declared").agg(sums), "declared")
+    whole = said.agg(*[F.sum(F.col("sums")[i]) for i in range(size)]).first()
+    total = [float(x or 0.0) for x in whole]
+    tree = shared_table(_host_sums(hosts, size), "host-sums")
+    spoken = said.where("declared <> ''").select(F.col("declared").alias("d"), F.col("sums").alias("said"))
+
+    out = scored.join(tree, F.col("host") == F.col("h"), "left").join(spoken, F.col("declared") == F.col("d"), "left")
+    # everything a row is compared with is without the row itself
+    mine = [F.coalesce(F.col("own")[i], F.lit(0.0)) for i in range(size)]
+    n_mine = F.when(F.col("own").isNotNull(), 1.0).otherwise(0.0)
+    rest = lambda got: [F.greatest(x - m, F.lit(0.0)) for x, m in zip(got, mine)]
+    count = lambda parts: reduce(add, parts)
+    others = rest([F.lit(t) for t in total])
+    world = [(x + 1.0 / size) / (F.greatest(F.lit(sum(total)) - n_mine, F.lit(0.0)) + 1.0) for x in others]
+
+    def narrow(prior: Column, level: Column) -> Column:
+        left = F.zip_with(level, F.array(*mine), lambda x, m: F.greatest(x - m, F.lit(0.0)))
+        n = F.aggregate(left, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(left, prior, lambda x, p: (x + weight * p) / (n + weight))
+
+    prior = F.aggregate(F.coalesce("levels", F.array().cast("array<array<double>>")), F.array(*world), narrow)
+    spoke = rest([F.col("said")[i] for i in range(size)])
+    share = count(spoke) / F.greatest(count(others), F.lit(1e-9))
+    word = [F.coalesce(F.log((x + weight * share) / (o + weight)), F.lit(0.0)) for x, o in zip(spoke, others)]
+    out = out.select("id", "e", prior.alias("prior"), F.array(*word).alias("word"))
+    logs = [F.log(F.col("prior")[i]) + F.col("word")[i] + F.coalesce(F.col("e")[i], F.lit(0.0)) for i in range(size)]
     out = out.select("id", F.col("e").isNotNull().alias("letters"), F.array(*_normal(logs)).alias("post"))
     best = F.array_max("post")
     lang = F.element_at(F.array(*[F.lit(k) for k in names]), F.array_position("post", best).cast("int"))
@@ -180,7 +208,10 @@ def declared_language(html: Column) -> Column:
 
 
 def keep_identified(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", wanted: tuple[str, ...] | None = None, **kw) -> DataFrame:
-    """``docs`` without those that are rejected or in a language not ``wanted`` (None: any). Rows with a null id stay."""
+    """``docs`` without those that are rejected or in a language not ``wanted`` (None: any). Rows with a null id stay, and
+    all rows where the model knows no language. Of rows that share an id one rejected is enough for all to go."""
+    if not model.languages:
+        return docs
     found = identify(docs, model, id_col, text_col, host_col, **kw)
     ok = F.col("accepted") & (F.col("lang").isin(*wanted) if wanted else F.lit(True))
     gone = shared_table(found.where(~ok & F.col(id_col).isNotNull()).select(id_col), "rejected")
