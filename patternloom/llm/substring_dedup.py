@@ -17,8 +17,9 @@ A run is all windows of a document with the same anchor occurrence; they start a
 
 No step brings the occurrences of one anchor, run or window together in a task: minima and counts are
 aggregated map-side, and what is not first is found by an anti-join on (document, start), which is unique.
-Documents travel by id twice; anchors, runs and spans are narrow. Equality is by 64-bit hashes of anchor and
-of run or window together, 128 bits in all.
+Documents travel by id and text hash twice; anchors, runs and spans are narrow. Runs and windows are compared by 64-bit
+hashes, and only with those that have the same 64-bit anchor hash: texts that differ outside the anchor are told
+apart by the one hash.
 
 Defined cases: null or empty text has no words; a null id sorts before all others; rows that repeat an id
 are told apart by their text, and rows with equal id and text are one document (each is reported, and they
@@ -78,7 +79,8 @@ def _anchors(length: int, k: int):
             roll, doc, at, _, _, begins = _runs(b.column(1).cast(pa.binary()).to_pylist(), hashes, length, k)
             anchor = roll.of(at, k).view(np.int64)
             pos = pa.array((at - begins[doc]).astype(np.int32))
-            yield pa.record_batch([b.column(0).take(pa.array(doc)), pa.array(anchor), pos], names=["id", "anchor", "pos"])
+            took = pa.array(doc)
+            yield pa.record_batch([b.column(0).take(took), b.column(2).take(took), pa.array(anchor), pos], names=["id", "tk", "anchor", "pos"])
 
     return run
 
@@ -115,11 +117,13 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words; a run covers words start to start + n + length - 2. tk is the hash of the document's text."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    anchors = shared_table(rows.mapInArrow(_anchors(length, k), "id long, anchor long, pos int"), "anchors")
+    rows = rows.withColumn("tk", F.xxhash64("text"))
+    anchors = shared_table(rows.mapInArrow(_anchors(length, k), "id long, tk long, anchor long, pos int"), "anchors")
     twice = shared_table(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "seeds")
-    seeds = anchors.join(twice, "anchor", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("positions"))
-    seeds = shared_table(seeds.withColumnRenamed("id", "sid"), "positions")
-    texts = rows.join(seeds, F.col("id").eqNullSafe(F.col("sid"))).select("id", F.xxhash64("text").alias("tk"), "text", "positions")
+    # by document, that is by id and text: a set, so that rows that repeat a document add nothing
+    seeds = anchors.join(twice, "anchor", "left_semi").groupBy("id", "tk").agg(F.collect_set("pos").alias("positions"))
+    seeds = shared_table(seeds.select(F.col("id").alias("sid"), F.col("tk").alias("stk"), "positions"), "positions")
+    texts = rows.join(seeds, F.col("id").eqNullSafe(F.col("sid")) & (F.col("tk") == F.col("stk"))).select("id", "tk", "text", "positions")
     schema = "id long, tk long, anchor long, content long, start int, lead int, n int, windows array<long>"
     runs = shared_table(texts.mapInArrow(_extended(length, k), schema), "runs")
     discard(anchors, twice, seeds)
