@@ -8,8 +8,8 @@ Features: a text's distinct words (lower-cased runs of letters and digits), each
 characters, hashed to ``2**bits`` columns; values are 0 and 1. Only columns that mark grades above the lowest
 in the training rows have weights, so most words have none, and scoring looks each distinct word up once.
 
-Fitting: AdaGrad on the regularised likelihood over at most about ``train_rows`` labelled rows, picked by
-hash of the id, on the driver; whole texts. Copies and near copies among them count once: of rows that share
+Fitting: AdaGrad on the regularised likelihood over at most ``train_rows`` labelled rows and ``train_bytes`` of text,
+picked by hash of the id, on the driver; whole texts. Rows over the lowest grade are up to half of them, however rare they are. Copies and near copies among them count once: of rows that share
 one of three MinHash values over five-word shingles only the first is used. The model, ``2**bits`` floats, is sent to the executors; texts
 are not shuffled.
 
@@ -18,7 +18,7 @@ toxic rows in two grades at the median number of distinct words that mark them.
 
 Defined cases: null text counts as empty and gets the severity of a text without features; null ids and
 repeated rows are scored like any other; labels that are null are left out; without labels of two grades,
-severity is that of the lowest grade; an empty table gives no rows; other columns are not touched.
+or without a feature that marks the higher ones, severity is that of the lowest grade; an empty table gives no rows; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, Rolling, WordHash, mixed, small_batches
+from ._common import BROADCAST_ROWS, Rolling, WordHash, discard, mixed, shared_table, small_batches
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -76,9 +76,11 @@ class Marks(dict):
         return float(sum(self.weights[c] for c in sorted(found)))
 
 
-def _matrix(texts: list[str | None], marked: np.ndarray, bits: int, least_rows: int, least_z: float):
-    """Rows and columns of the training texts, of columns in ``least_rows`` rows or more whose share
-    among marked rows (grade over 0) is ``least_z`` standard errors over that among all."""
+def _matrix(texts: list[str | None], marked: np.ndarray, bits: int, least_rows: int, least_share: float, doubt: float):
+    """Rows and columns of the training texts, of the columns that mark rows over grade 0: in ``least_rows`` rows or more, of
+    which ``least_share`` or more are marked, which by chance alone (Chernoff's bound) about e**``doubt`` of all such
+    columns would be. So the bound rises with the number of columns looked at, and what it takes of rows falls
+    with the share of marked rows: tables with few labels keep their clearest marks."""
     mask, cache = (1 << bits) - 1, {}
     cols = []
     seen, hits = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -94,9 +96,11 @@ def _matrix(texts: list[str | None], marked: np.ndarray, bits: int, least_rows:
         seen[c] += 1
         hits[c] += hit
         cols.append(c)
-    share = marked.mean()
-    z = (hits - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    use = (seen >= least_rows) & (z >= least_z)
+    share = np.clip(marked.mean(), 1e-9, 1 - 1e-9)
+    own = np.clip(hits / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
+    chance = seen * (own * np.log(own / share) + (1 - own) * np.log((1 - own) / (1 - share)))
+    enough = seen >= least_rows
+    use = enough & (own >= max(least_share, share)) & (chance >= np.log(max(2, enough.sum())) - doubt)
     rows = np.repeat(np.arange(len(texts)), [len(c) for c in cols])
     cols = np.concatenate(cols)
     on = use[cols]
@@ -120,7 +124,33 @@ def distinct_rows(texts: list[str | None], k: int = 5) -> list[int]:
     return out
 
 
-def fit_ordinal(texts: list[str | None], grades: np.ndarray, bits: int = 20, least_rows: int = 10, least_z: float = 6.0, l2: float = 1e-6, steps: int = 400, rate: float = 0.5, lift: float = 8.0) -> OrdinalModel:
+def thresholds_of(t: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first as it is, each other the one before plus an exponential."""
+    return np.cumsum(np.concatenate(([t[0]], np.exp(t[1:]))))
+
+
+def likelihood(x: np.ndarray, t: np.ndarray, rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, heft: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood of the grades, weighted by ``heft``, plus ``l2`` / 2 |x|**2, and its gradients by the weights
+    ``x`` and the thresholds' parameters ``t``. The features that are 1 are given by ``rows`` and ``cols``."""
+    n, top = len(grades), len(t)
+    margin = np.bincount(rows, x[cols], n)
+    cdf = 1 / (1 + np.exp(-np.clip(np.concatenate(([-np.inf], thresholds_of(t), [np.inf]))[None, :] - margin[:, None], -60, 60)))
+    cdf[:, 0], cdf[:, -1] = 0.0, 1.0
+    i = np.arange(n)
+    low, high = cdf[i, grades], cdf[i, grades + 1]
+    p = np.maximum(high - low, 1e-12)
+    slope_high, slope_low = high * (1 - high), low * (1 - low)
+    g_margin = (slope_high - slope_low) / p * heft
+    g_theta = np.zeros(top + 2)
+    np.add.at(g_theta, grades + 1, -slope_high / p * heft)
+    np.add.at(g_theta, grades, slope_low / p * heft)
+    back = np.cumsum(g_theta[1:-1][::-1])[::-1]
+    g_t = np.concatenate(([back[0]], back[1:] * np.exp(t[1:])))
+    g_x = np.bincount(cols, g_margin[rows], len(x)) + l2 * x
+    return float(-(heft * np.log(p)).sum() + l2 / 2 * (x**2).sum()), g_x, g_t
+
+
+def fit_ordinal(texts: list[str | None], grades: np.ndarray, bits: int = 20, least_rows: int = 3, least_share: float = 0.8, doubt: float = 2.0, l2: float = 1e-6, steps: int = 400, rate: float = 0.5, lift: float = 8.0) -> OrdinalModel:
     """Full-gradient AdaGrad on the mean negative log-likelihood plus ``l2`` / 2 |w|**2; rows over grade 0 count
     ``lift`` times."""
     top = int(grades.max()) if len(grades) else 0
@@ -129,8 +159,10 @@ def fit_ordinal(texts: list[str | None], grades: np.ndarray, bits: int = 20, lea
         return OrdinalModel(bits, w, np.full(max(top, 1), 60.0))
     first = distinct_rows(texts)
     texts, grades = [texts[i] for i in first], grades[first]
-    rows, cols = _matrix(texts, grades > 0, bits, least_rows, least_z)
+    rows, cols = _matrix(texts, grades > 0, bits, least_rows, least_share, doubt)
     used, cols = np.unique(cols, return_inverse=True)
+    if not len(used):  # nothing tells the grades apart
+        return OrdinalModel(bits, w, np.full(top, 60.0))
     n, d = len(texts), len(used)
     x, sum_x = np.zeros(d), np.full(d, 1e-8)
     share = np.clip([(grades <= k).mean() for k in range(top)], 1e-3, 1 - 1e-3)
@@ -140,28 +172,13 @@ def fit_ordinal(texts: list[str | None], grades: np.ndarray, bits: int = 20, lea
     heft = np.where(grades > 0, lift, 1.0)
     heft /= heft.sum()
     for _ in range(steps):
-        theta = np.cumsum(np.concatenate(([t[0]], np.exp(t[1:]))))
-        margin = np.bincount(rows, x[cols], n)
-        cdf = 1 / (1 + np.exp(-np.clip(np.concatenate(([-np.inf], theta, [np.inf]))[None, :] - margin[:, None], -60, 60)))
-        cdf[:, 0], cdf[:, -1] = 0.0, 1.0
-        i = np.arange(n)
-        low, high = cdf[i, grades], cdf[i, grades + 1]
-        p = np.maximum(high - low, 1e-12)
-        slope_high, slope_low = high * (1 - high), low * (1 - low)
-        g_margin = (slope_high - slope_low) / p * heft  # of the negative log-likelihood
-        g_theta = np.zeros(top + 2)
-        np.add.at(g_theta, grades + 1, -slope_high / p * heft)
-        np.add.at(g_theta, grades, slope_low / p * heft)
-        g_theta = g_theta[1:-1]
-        back = np.cumsum(g_theta[::-1])[::-1]
-        g_t = np.concatenate(([back[0]], back[1:] * np.exp(t[1:])))
-        g_x = np.bincount(cols, g_margin[rows], d) + l2 * x
+        _, g_x, g_t = likelihood(x, t, rows, cols, grades, heft, l2)
         sum_x += g_x**2
         sum_t += g_t**2
         x -= rate * g_x / np.sqrt(sum_x)
         t -= rate * g_t / np.sqrt(sum_t)
     w[used] = x
-    return OrdinalModel(bits, w, np.cumsum(np.concatenate(([t[0]], np.exp(t[1:])))))
+    return OrdinalModel(bits, w, thresholds_of(t))
 
 
 def grade_by_marks(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
@@ -181,18 +198,32 @@ def grade_by_marks(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic == 0, 0, np.where(found < np.median(found[toxic == 1]), 1, 2)).astype(np.int64)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, train_rows: int, usable=None) -> tuple[list, np.ndarray]:
-    """Texts and labels of about ``train_rows`` labelled rows, picked by hash of the id: ids first, then texts."""
-    small_batches(docs.sparkSession)
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, train_rows: int, usable=None, rare: int | None = None, train_bytes: int = 128 << 20) -> tuple[list, np.ndarray]:
+    """Texts and labels of ``train_rows`` labelled ids at most, in the order of a hash of the id, and of no more than
+    ``train_bytes`` of text. ``rare``: half of the rows are kept for labels of that value or more, or as many as there are.
+
+    An id counts once, with its smallest label and one of its texts, however often it occurs. Ids are drawn first, at a rate that
+    gives about ``train_rows``; their texts are then staged, and what fits the bounds, by the ids' hashes, is read."""
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    known = known if usable is None else known.where(usable)
-    n = known.count()
-    draw = F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1_000_003)) / 1_000_003
-    some = known.where(draw < min(1.0, train_rows / max(1, n))).select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("label"))
+    known = (known if usable is None else known.where(usable)).groupBy(F.col(id_col).alias("lid")).agg(F.min(label_col).cast("int").alias("label"))
+    is_rare = F.col("label") >= (2**31 - 1 if rare is None else rare)
+    n = dict(known.groupBy(is_rare.alias("rare")).count().collect())
+    most = train_rows // 2
+    rate = F.when(is_rare, min(1.0, most / max(1, n.get(True, 0)))).otherwise(min(1.0, (train_rows - min(most, n.get(True, 0))) / max(1, n.get(False, 0))))
+    some = known.withColumn("draw", F.xxhash64(F.lit("train"), "lid")).where(F.pmod("draw", F.lit(1_000_003)) / 1_000_003 < rate)
     some = F.broadcast(some) if train_rows <= BROADCAST_ROWS else some
     texts = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text"))
-    got = texts.join(some, F.col("did") == F.col("lid")).select("lid", "text", "label").toArrow().sort_by("lid")
-    return got["text"].to_pylist(), got["label"].to_numpy()
+    got = texts.join(some, F.col("did") == F.col("lid")).groupBy("lid", "label", "draw").agg(F.min("text").alias("text"))
+    got = shared_table(got, "training")
+    size = got.select("draw", "lid", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toArrow().sort_by([("draw", "ascending"), ("lid", "ascending")])
+    fits = (np.cumsum(size["n"].to_numpy().astype(np.int64)) <= train_bytes) & (np.arange(size.num_rows) < train_rows)
+    if not fits.all():
+        got = got.where(F.col("draw") < int(size["draw"][int(np.argmin(fits))].as_py()))
+    rows = got.select("lid", "text", "label").toArrow().sort_by("lid")
+    discard(got)
+    return rows["text"].to_pylist(), rows["label"].to_numpy()
 
 
 def score_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,6 +245,6 @@ def score_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str | None = None, toxic_col: str = "toxic", train_rows: int = 12_000, **kw) -> DataFrame:
     """Fit on labelled rows of ``docs`` and score all of them: (id, severity, grade)."""
-    texts, marks = training_rows(docs, labels, grade_col or toxic_col, id_col, text_col, train_rows)
+    texts, marks = training_rows(docs, labels, grade_col or toxic_col, id_col, text_col, train_rows, rare=1)
     grades = marks.astype(np.int64) if grade_col else grade_by_marks(texts, marks.astype(np.int64))
     return score_severity(docs, fit_ordinal(texts, grades, **kw), id_col, text_col)
