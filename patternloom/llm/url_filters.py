@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import ascii_lower, shared_table
+from ._common import ascii_lower, shared_table, sized
 
 _NONE = "\0"  # no rule is active
 
@@ -50,7 +50,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, key_col: str = "page_id", ur
 
     ``rules``: rule_host, rule_path, rule_verdict.
     """
-    rules = rules.select(F.lower("rule_host").alias("rule_host"), "rule_path", "rule_verdict").dropna()
+    rules = rules.select(ascii_lower(F.col("rule_host")).alias("rule_host"), "rule_path", "rule_verdict").dropna()
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))  # 'block' > 'allow'
     rules = shared_table(rules.select(_reversed(F.col("rule_host")).alias("rhost"), "rule_host", "rule_path", "rule_verdict"), "rules")
     urls = split_url(pages.select(F.col(key_col).alias("key"), F.col(url_col).alias("url"))).select("key", "host", "path")
@@ -80,7 +80,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, key_col: str = "page_id", ur
     hits = hits.join(rules, ["rhost", "rule_path"])
     best = F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("a"), F.length("rule_host").alias("b"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best")
     best = shared_table(hits.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.verdict"), "verdicts")
-    out = urls.join(best, ["host", "path"], "left")
+    out = urls.join(sized(best), ["host", "path"], "left")
     return out.select(F.col("key").alias(key_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
