@@ -89,19 +89,20 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     schema = "id long, item_id long, shared int, item_shingles int, containment double"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if blocks > 1:
-        items = shared_table(items.repartition(blocks, F.xxhash64("item_text", "item_id")).withColumn("block", F.spark_partition_id()), "items")
+        block_of = F.pmod(F.xxhash64("item_text", "item_id"), F.lit(blocks))  # of the row alone, however many partitions there are
+        items = shared_table(items.withColumn("block", block_of), "items")
     passes = []
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.col("block") == block)
-        held = spark.sparkContext.broadcast([(r.item_id, r.item_text) for r in part.collect()])  # about block_rows items
+        part = [(r.item_id, r.item_text) for r in part.collect()]  # about block_rows items
+        held = spark.sparkContext.broadcast((part, _sketches(part, threshold, k)))
         passes.append(rows.mapInArrow(_search(held, threshold, k), schema))
     return reduce(DataFrame.unionByName, passes).withColumnRenamed("id", id_col)
 
 
 def _search(held, threshold: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = held.value
-        octaves = _sketches(items, threshold, k)
+        items, octaves = held.value
         sets: dict[int, set[str]] = {}
         seen = StringHash()
         for b in batches:
