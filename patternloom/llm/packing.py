@@ -4,8 +4,8 @@ Lengths are counted in words. A document longer than a bin is cut into pieces; p
 bins of their own, and the last piece is packed. Two pieces conflict, and never share a bin, when their
 documents have the same source or the same duplicate cluster.
 
-Pieces are dealt by hash into shards of about ``shard_rows``, and each shard is packed by best-fit
-decreasing: bins are ordered by residual capacity and carry a bitmap of their sources and one of their
+Pieces are dealt by hash, with the number of the row in the staged table among its keys, into shards of about
+``shard_rows``, and each shard is packed by best-fit decreasing: bins are ordered by residual capacity and carry a bitmap of their sources and one of their
 duplicate clusters. From the smallest residual that can hold the piece, successor search goes on to the
 next larger one until it finds a compatible bin, which is then the tightest compatible one; without one, a
 new bin opens. Bins of equal residual and equal bitmaps are interchangeable and kept together, so a search
@@ -111,11 +111,11 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None
         F.col(id_col).cast("long").alias("id"), length.cast("long").alias("n"),
         (none if source is None else source).cast("string").alias("source"), (none if cluster is None else cluster).cast("long").alias("cluster"),
     )
-    rows = shared_table(rows.where("n > 0"), "lengths")
+    rows = shared_table(rows.where("n > 0").withColumn("row", F.monotonically_increasing_id()), "lengths")
     full = rows.where(F.col("n") >= capacity).select("id", F.posexplode(F.sequence(F.lit(1), F.floor(F.col("n") / capacity))).alias("piece", "k"))
     rest = rows.withColumn("length", F.col("n") % capacity).where("length > 0").withColumn("piece", F.floor(F.col("n") / capacity).cast("int"))
     shards = max(1, -(-rest.count() // shard_rows))
-    shard = F.pmod(F.xxhash64("source", "cluster", "n", F.coalesce("id", F.monotonically_increasing_id())), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("id", "source", "cluster", "n", "row"), F.lit(shards)).cast("int")  # row: equal rows do not meet
     schema = "id long, piece int, length long, bin_id long, offset long"
     packed = rest.select("id", "piece", "length", "source", "cluster", shard.alias("shard")).groupBy("shard").applyInPandas(_pack(capacity), schema)
     alone = full.select("id", "piece", F.lit(capacity).cast("long").alias("length"), (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).cast("long").alias("offset"))
