@@ -9,10 +9,12 @@ mark). Participants are the distinct speakers other than ``system_role``, whose
 A rendering is a sequence of chunks of at most ``chunk_turns`` turns, in order, so that a conversation of any
 length is never gathered by one task. Turns are numbered within their conversation by a range-partitioned
 sort (ties are dealt out by a last sort key, so equal rows do not pile up either) and per-partition counts;
-only as many numbers as there are partitions reach the driver. Mask spans are character offsets in the chunk's text.
+only as many numbers as there are partitions reach the driver, and the sampled range keys, which hold 128 characters of a
+text at most. Mask spans are character offsets in the chunk's text.
 
 Defined cases: a null speaker is "unknown"; null text counts as empty; a null conversation id is a
-conversation of its own; null turns come first; ties are ordered by speaker, then text, and repeated rows are
+conversation of its own; null turns come first; ties are ordered by speaker, then text (where they fall in two
+partitions, texts that are equal in their first 128 characters by hash), and repeated rows are
 rendered as often as they occur; ``<|`` in texts and names is written ``<\\|`` so that texts cannot forge
 marks; a conversation with system turns only has no participant and no rendering; an empty table gives no
 rows; other columns are not touched.
@@ -24,16 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import shared_table
+from ._common import partitions_for, shared_table
 
 
 def _numbered(turns: DataFrame) -> DataFrame:
     """``turns`` with ``n``, the row's number (from 0) in its conversation."""
     spark = turns.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["conv", "turn", "speaker", "body"]
-    even = F.xxhash64(*keys, F.monotonically_increasing_id())
-    rows = turns.withColumn("tie", even).repartitionByRange(parts, *keys, "tie").sortWithinPartitions(*keys, "tie").drop("tie")
+    # the keys that are sampled for ranges hold no whole text
+    rows = turns.withColumns({"head": F.substring("body", 1, 128), "rest": F.xxhash64("body"), "tie": F.xxhash64(*keys, F.monotonically_increasing_id())})
+    rows = rows.repartitionByRange(partitions_for(turns), "conv", "turn", "speaker", "head", "rest", "tie")
+    rows = rows.sortWithinPartitions(*keys, "tie").select(*keys)
     rows = shared_table(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "turns")
     sizes = sorted((r[0], r[1]) for r in rows.groupBy("part").count().collect())
     before, offsets = 0, []
