@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, exact_dedup, language_id, packing, quality, simhash, substring_dedup, toxicity, url_filters
+from ._common import finished
 
 #: Rules of the URL filter query: host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -20,21 +23,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("digest", "text_sha256")
 
 
+def _pages_identified(spark: SparkSession, sf_dir: str, model: language_id.TextModel) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select(
+        "page_id", language_id.host_of(F.col("url")).alias("host"),
+        language_id.declared_language(F.col("html")).alias("declared"), language_id.visible_text(F.col("html")).alias("text"),
+    )
+    return language_id.identify(pages, model, "page_id", host_col="host", declared_col="declared")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by text and source; the text model is fitted on their lang labels, which scores never read."""
+    """Documents by text and source (doc_id), and pages by visible text, declared language, address suffix, site and host
+    (page_id). The text model is fitted on the documents' lang labels, which scores never read."""
     docs = _read(spark, sf_dir, "documents")
-    out = language_id.identify(docs, language_id.fit_text_model(docs), host_col="source")
-    return out.select("doc_id", F.col("lang").alias("predicted_lang"), "probability", F.col("accepted").alias("kept"))
+    model = language_id.fit_text_model(docs)
+    found = (language_id.identify(docs, model, host_col="source"), _pages_identified(spark, sf_dir, model))
+    found = found[0].unionByName(found[1], allowMissingColumns=True)
+    return found.select("doc_id", "page_id", F.col("lang").alias("predicted_lang"), "probability", F.col("accepted").alias("kept"))
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by visible text, declared language and the hierarchy of their hosts."""
-    model = language_id.fit_text_model(_read(spark, sf_dir, "documents"))
-    pages = _read(spark, sf_dir, "pages").select(
-        "page_id", language_id.host_of(F.col("url")).alias("host"),
-        language_id.declared_language(F.col("html")).alias("declared"), language_id.visible_text(F.col("html")).alias("text"),
-    )
-    out = language_id.identify(pages, model, "page_id", host_col="host", declared_col="declared")
+    """Pages alone, with their evidence as in op2."""
+    out = _pages_identified(spark, sf_dir, language_id.fit_text_model(_read(spark, sf_dir, "documents")))
     return out.select("page_id", F.col("lang").alias("predicted_lang"), "probability", "accepted")
 
 
@@ -68,7 +77,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # a null id has no remainder
     out = quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), usable=~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -126,7 +135,18 @@ SQL = {
 
 def queries() -> dict:
     fs = (op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_toxicity, op5_url_filters, op6_decontaminate, op7_best_fit_packing, op8_simhash, op9_quality, op10_chat_rotation, language_id_pages)
-    return {f.__name__: f for f in fs}
+    return {f.__name__: f if f is op10_chat_rotation else _alone(f) for f in fs}
+
+
+def _alone(query):
+    """The query with its narrow result staged, and what was staged for it deleted. Op10's result is whole texts: it is not
+    written a second time."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return finished(lambda: query(spark, sf_dir), query.__name__)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
