@@ -216,13 +216,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
     some = F.broadcast(some) if train_rows <= BROADCAST_ROWS else some
     texts = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text"))
     got = texts.join(some, F.col("did") == F.col("lid")).groupBy("lid", "label", "draw").agg(F.min("text").alias("text"))
-    got = shared_table(got, "training")
-    size = got.select("draw", "lid", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toArrow().sort_by([("draw", "ascending"), ("lid", "ascending")])
+    staged = got = shared_table(got.withColumn("turn", F.when(is_rare, 0).otherwise(1)), "training")
+    size = got.select("turn", "draw", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toArrow().sort_by([("turn", "ascending"), ("draw", "ascending")])
     fits = (np.cumsum(size["n"].to_numpy().astype(np.int64)) <= train_bytes) & (np.arange(size.num_rows) < train_rows)
     if not fits.all():
-        got = got.where(F.col("draw") < int(size["draw"][int(np.argmin(fits))].as_py()))
+        turn, draw = (int(size[c][int(np.argmin(fits))].as_py()) for c in ("turn", "draw"))
+        got = got.where((F.col("turn") < turn) | (F.col("turn") == turn) & (F.col("draw") < draw))
     rows = got.select("lid", "text", "label").toArrow().sort_by("lid")
-    discard(got)
+    discard(staged)
     return rows["text"].to_pylist(), rows["label"].to_numpy()
 
 

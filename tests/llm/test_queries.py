@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from patternloom.llm import queries as q
+from patternloom.llm._common import shared_table
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -48,7 +49,7 @@ def test_pipeline(spark):
         after = stage(spark, left, SF)
         assert after.columns == docs.columns
         assert set(after.toPandas()["doc_id"]) <= set(left.toPandas()["doc_id"])
-        left = corpus_pipeline.shared_table(after, name)
+        left = shared_table(after, name)
     rows = left.toPandas()
     text = rows["text"].str.lower()
     assert text.is_unique
