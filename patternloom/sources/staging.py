@@ -88,7 +88,7 @@ def drop_paths(tables: list[str]) -> None:
 
 def finished(make: Callable[[], DataFrame], name: str, *inputs: DataFrame) -> DataFrame:
     """Stage what ``make`` returns, then delete what was staged for it, and ``inputs``."""
-    before = set(_live) - {t._stage_path for t in inputs if hasattr(t, "_stage_path")}
+    before = set(_live) - {t.__dict__.get("_stage_path") for t in inputs}
     out = stage(make(), name)
     for path in set(_live) - before - {out._stage_path}:
         _delete(path)
