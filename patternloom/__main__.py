@@ -11,7 +11,7 @@ from .api import _context
 from .plans.decompose import decompose
 from .reports.model import Options, gather
 from .reports.render import render
-from .sources.lines import lines_of_text, read_log_files
+from .sources.lines import read_log_files, read_stream
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.master(args.master).appName("patternloom").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if args.file in (None, "-"):
-        lines = lines_of_text(spark, sys.stdin.buffer.read().decode(errors="replace"))
+        lines = read_stream(spark, sys.stdin.buffer)
     else:
         lines = read_log_files(spark, args.file)
     d = decompose(lines, mode=args.mode, context=options.context)

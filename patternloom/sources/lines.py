@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .staging import partitions_for, stage
+from .staging import partitions_for, spool, stage
 
 
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
@@ -43,6 +44,12 @@ def read_log_files(spark: SparkSession, *paths: str) -> DataFrame:
     return number_lines(meta, "path", "block", "at")
 
 
+def read_stream(spark: SparkSession, source: BinaryIO) -> DataFrame:
+    """Lines of a stream of bytes, such as standard input, as those of a file. The stream is copied to the shared folder in
+    blocks, so it is never whole in memory."""
+    return read_log_files(spark, spool(spark, source))
+
+
 def lines_of_text(spark: SparkSession, text: str) -> DataFrame:
     """Lines of one string, split at line feeds, one carriage return before each removed."""
     rows = spark.createDataFrame([(text,)], T.StructType([T.StructField("text", T.StringType())]))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,20 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def spool(spark: SparkSession, source: BinaryIO, size: int = 1 << 20) -> str:
+    """Copy a stream of bytes to a file in the shared folder, ``size`` bytes at a time; its path."""
+    path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
+    _live[path] = spark
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file)
+    try:
+        while block := source.read(size):
+            out.write(block)
+    finally:
+        out.close()
+    return path
+
+
 def _delete(path: str) -> None:
     spark = _live.pop(path, None)
     if spark is not None:

@@ -1,5 +1,6 @@
 """Clustering against a row-at-a-time model, extraction, statistics, anomalies, correlations, sources."""
 
+import io
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from patternloom.functions import clp
 from patternloom.operators import anomalies, correlations, drain, stats
 from patternloom.operators.parse import parse_lines
 from patternloom.plans.decompose import Decomposition
-from patternloom.sources.lines import lines_of_column, lines_of_text, read_log_files, union_sources
+from patternloom.sources.lines import lines_of_column, lines_of_text, ranked, read_log_files, read_stream, union_sources
 
 
 def lines(spark, texts):
@@ -58,6 +59,45 @@ def test_clusters_as_in_one_pass(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_leaf_finds_what_a_scan_finds(seed):
+    """The bit sets against a scan over all clusters, with few and many slots to a word, and eviction of the oldest."""
+    rng = random.Random(seed)
+    drain_config = drain.DrainConfig(similarity=rng.choice([0.2, 0.4, 0.7]), max_clusters=rng.choice([5, 50]))
+    group, plain = drain.TokenCountGroup(drain_config), []  # clusters, the one used last at the end
+    for line in range(500):
+        words = [rng.choice("ab")] + [rng.choice("cdefgh") for _ in range(5)]
+        rank = lambda c: (sum(a == b and a != "<*>" for a, b in zip(c[1], words)) / 6, c[1].count("<*>"), -c[0])  # noqa: B023, E731
+        best = max((c for c in plain if c[2] == words[0]), key=rank, default=None)
+        if best is None or rank(best)[0] < drain_config.similarity:
+            best = [line, list(words), words[0]]
+        else:
+            plain.remove(best)
+            best[1] = [a if a == b else "<*>" for a, b in zip(best[1], words)]
+        plain = [*plain, best][-drain_config.max_clusters :]
+        got = group.add(list(words), line)
+        assert (got.founder, got.template) == (best[0], best[1])
+        assert sorted(group.recent) == sorted(c[0] for c in plain)
+
+
+@pytest.mark.parametrize("mode", ["replay", "distinct"])
+def test_evicted_clusters_found_anew(spark, mode):
+    """Three shapes of one length in turn, with room for two: each comes back under a new pattern in replay."""
+    texts = [f"{w} x y z" for w in ("one", "two", "three")] * 3
+    parsed = parse_lines(lines(spark, texts), 2024)
+    rows = drain.assign_patterns(parsed, mode, drain.DrainConfig(max_clusters=2)).collect()
+    got = {r.line_number: r.pattern_id for r in rows}
+    assert len(rows) == 9 and [got[k] for k in range(1, 10)] == (list(range(1, 10)) if mode == "replay" else [1, 2, 3] * 3)
+
+
+def test_ranks_over_partitions(spark):
+    rng = random.Random(3)
+    keys = [rng.randint(0, 50) for _ in range(500)]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    got = ranked(rows, "k", "i").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 501)) and [(r.k, r.i) for r in got] == sorted((k, i) for i, k in enumerate(keys))
+
+
 def test_templates_cover_their_lines(spark, sample_lines):
     d = Decomposition(lines(spark, sample_lines))
     known = d.templates
@@ -104,6 +144,28 @@ def test_statistics_by_brute_force(spark):
     assert all(abs(close[k] - uniques[k]) <= 1 for k in uniques)
 
 
+def test_spikes_and_r_as_over_the_whole_grid(spark):
+    """Sums over the minutes that have lines give what vectors with their zeros give."""
+    rng = random.Random(4)
+    counts = {p: {m: rng.randint(1, 9) for m in range(40) if rng.random() < 0.3} for p in range(1, 5)}
+    counts[1][0], counts[2][39] = 2, 5
+    series = {p: [c.get(m, 0) for m in range(40)] for p, c in counts.items()}
+    buckets = spark.createDataFrame([(p, m + 1000, n) for p, c in counts.items() for m, n in c.items()], "pattern_id long, minute long, n long")
+    ratios = {r.pattern_id: (r.late_ratio, r.early_ratio) for r in anomalies.spike_ratios(buckets).collect()}
+    mean = lambda v: sum(v) / len(v)
+    for p, v in series.items():
+        want = (mean(v[36:]) / mean(v[:36]), mean(v[:4]) / mean(v[4:]))
+        assert all(abs(a - b) < 1e-9 for a, b in zip(ratios[p], want))
+    chosen = spark.createDataFrame([(p, p, "ERROR" if p == 4 else "x") for p in series], "pattern_id long, rank int, template string")
+    got = {(r.pattern_a, r.pattern_b, r.lag): r.r for r in correlations._lagged(buckets, chosen, (0, 2)).collect()}
+    for (a, b, lag), r in got.items():
+        x, y = series[a][: 40 - lag], series[b][lag:]
+        cov = mean([i * j for i, j in zip(x, y)]) - mean(x) * mean(y)
+        sd = lambda v: (mean([i * i for i in v]) - mean(v) ** 2) ** 0.5
+        assert abs(r - cov / sd(x) / sd(y)) < 1e-9
+    assert len(got) == 24
+
+
 def test_dense_buckets_and_spikes(spark):
     b = spark.createDataFrame([(1, 0, 1), (1, 9, 50), (2, 0, 40), (2, 5, 1), (3, 3, 2)], "pattern_id long, minute long, n long")
     dense = stats.dense_buckets(b)
@@ -132,6 +194,7 @@ def test_sources(spark, tmp_path):
     f.write_bytes(b"one\r\n\n two\rstill two\n\xffbad\r\r\nlast")
     got = [(r.line_number, r.raw) for r in read_log_files(spark, str(f)).orderBy("line_number").collect()]
     assert got == [(1, "one"), (2, " two\rstill two"), (3, "\ufffdbad"), (4, "last")]
+    assert [(r.line_number, r.raw) for r in read_stream(spark, io.BytesIO(f.read_bytes())).orderBy("line_number").collect()] == got
     text = lines_of_text(spark, "a\r\n\nb\r\r\nc")
     assert [r.raw for r in text.orderBy("line_number").collect()] == ["a", "b\r", "c"]
     table = spark.createDataFrame([(2, "x\ny"), (1, "a\n\nb"), (3, None)], "k int, t string")
