@@ -37,7 +37,7 @@ def test_query(spark, duck, name):
 def test_scored_queries_return_every_document(spark):
     n = pd.read_parquet(f"{SF}/documents.parquet")["doc_id"].nunique()
     for name in ("op2_language_id", "op4_toxicity", "op8_simhash", "op9_quality"):
-        assert q.queries()[name](spark, SF).select("doc_id").distinct().count() == n
+        assert q.queries()[name](spark, SF).where("doc_id is not null").select("doc_id").distinct().count() == n  # op2 has rows of pages too
 
 
 def test_pipeline(spark):
