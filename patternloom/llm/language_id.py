@@ -32,7 +32,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -120,14 +119,47 @@ def _text_evidence(rows: DataFrame, model: TextModel, start: np.ndarray) -> Data
     return rows.mapInArrow(run, "id long, host string, declared string, e array<double>, own array<double>")
 
 
-def _normal(logs: list[Column]) -> list[Column]:
-    top = F.array_max(F.array(*logs))
-    exps = [F.exp(F.greatest(x - top, F.lit(-700.0))) for x in logs]
-    return [x / reduce(add, exps) for x in exps]
+def _dense(column: pa.Array, size: int) -> np.ndarray:
+    """Rows of a column of lists of ``size`` numbers; zeros for null."""
+    out = np.zeros((len(column), size))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    return out
+
+
+def _fused(total: np.ndarray, names: list[str], weight: float, least: float):
+    """Posteriors from a row's evidence and the sums of its host's levels and declared language, each without the row."""
+    size = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e, own = _dense(b.column("e"), size), _dense(b.column("own"), size)
+            letters = b.column("e").is_valid().to_numpy(zero_copy_only=False)
+            others = np.maximum(total - own, 0)
+            prior = (others + 1 / size) / (np.maximum(total.sum() - letters, 0) + 1)[:, None]
+            for level in ("suffix_sums", "site_sums", "sums"):
+                known = b.column(level).is_valid().to_numpy(zero_copy_only=False)
+                rest = np.maximum(_dense(b.column(level), size) - own, 0)
+                narrow = (rest + weight * prior) / (rest.sum(axis=1, keepdims=True) + weight)
+                prior = np.where(known[:, None], narrow, prior)
+            said = np.maximum(_dense(b.column("said"), size) - own, 0)
+            said[said.sum(axis=1) < 1e-9] = 0
+            share = said.sum(axis=1, keepdims=True) / np.maximum(others.sum(axis=1, keepdims=True), 1e-9)
+            word = np.where(share > 0, np.log(np.maximum(said + weight * share, 1e-300) / (others + weight)), 0)
+            logs = np.log(prior) + word + e
+            post = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -700))
+            post /= post.sum(axis=1, keepdims=True)
+            best = post.argmax(axis=1)
+            sure = post[np.arange(len(post)), best]
+            ok = letters & (best < size - 1) & (sure >= least)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, post.size + 1, size, dtype=np.int32)), pa.array(post.ravel()))
+            lang = pa.array([names[k] if x else None for k, x in zip(best.tolist(), letters.tolist())], pa.string())
+            yield pa.record_batch([b.column("id"), lang, pa.array(sure, mask=~letters), pa.array(ok), flat], names=["id", "lang", "probability", "accepted", "post"])
+
+    return run
 
 
 def _host_sums(hosts: DataFrame, size: int) -> DataFrame:
-    """``hosts`` (host, sums) with ``levels``: the sums of the host's address suffix, site and itself, widest first."""
+    """h, and the sums of the host's address suffix (suffix_sums), site (site_sums) and of itself (sums)."""
     label = F.split("host", r"\.")
     many = F.size(label) > 1
     tree = hosts.withColumns({"suffix": F.when(many, F.element_at(label, -1)), "site": F.when(many, F.array_join(F.slice(label, -2, 2), "."))})
@@ -135,8 +167,7 @@ def _host_sums(hosts: DataFrame, size: int) -> DataFrame:
         total = F.array(*[F.sum(F.col("sums")[i]) for i in range(size)])
         own = tree.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("k")).agg(total.alias(f"{level}_sums"))
         tree = tree.join(own, F.col(level) == F.col("k"), "left").drop("k")
-    levels = F.array_compact(F.array("suffix_sums", "site_sums", "sums"))
-    return tree.select(F.col("host").alias("h"), levels.alias("levels"))
+    return tree.select(F.col("host").alias("h"), "suffix_sums", "site_sums", "sums")
 
 
 def identify(rows: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, declared_col: str | None = None, weight: float = 20.0, least: float = 0.5, unknown: float = 1e-3) -> DataFrame:
@@ -156,39 +187,14 @@ def identify(rows: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     hosts = shared_table(lettered.where("host is not null").groupBy("host").agg(sums), "hosts")
     said = shared_table(lettered.groupBy("declared").agg(sums), "declared")
     whole = said.agg(*[F.sum(F.col("sums")[i]) for i in range(size)]).first()
-    total = [float(x or 0.0) for x in whole]
+    total = np.array([float(x or 0.0) for x in whole])
     tree = shared_table(_host_sums(hosts, size), "host-sums")
     spoken = said.where("declared <> ''").select(F.col("declared").alias("d"), F.col("sums").alias("said"))
-
-    out = scored.join(tree, F.col("host") == F.col("h"), "left").join(spoken, F.col("declared") == F.col("d"), "left")
-    # everything a row is compared with is without the row itself
-    mine = [F.coalesce(F.col("own")[i], F.lit(0.0)) for i in range(size)]
-    n_mine = F.when(F.col("own").isNotNull(), 1.0).otherwise(0.0)
-    rest = lambda got: [F.greatest(x - m, F.lit(0.0)) for x, m in zip(got, mine)]
-    count = lambda parts: reduce(add, parts)
-    others = rest([F.lit(t) for t in total])
-    world = [(x + 1.0 / size) / (F.greatest(F.lit(sum(total)) - n_mine, F.lit(0.0)) + 1.0) for x in others]
-
-    def narrow(prior: Column, level: Column) -> Column:
-        left = F.zip_with(level, F.array(*mine), lambda x, m: F.greatest(x - m, F.lit(0.0)))
-        n = F.aggregate(left, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(left, prior, lambda x, p: (x + weight * p) / (n + weight))
-
-    prior = F.aggregate(F.coalesce("levels", F.array().cast("array<array<double>>")), F.array(*world), narrow)
-    spoke = rest([F.col("said")[i] for i in range(size)])
-    share = count(spoke) / F.greatest(count(others), F.lit(1e-9))
-    word = [F.coalesce(F.log((x + weight * share) / (o + weight)), F.lit(0.0)) for x, o in zip(spoke, others)]
-    out = out.select("id", "e", prior.alias("prior"), F.array(*word).alias("word"))
-    logs = [F.log(F.col("prior")[i]) + F.col("word")[i] + F.coalesce(F.col("e")[i], F.lit(0.0)) for i in range(size)]
-    out = out.select("id", F.col("e").isNotNull().alias("letters"), F.array(*_normal(logs)).alias("post"))
-    best = F.array_max("post")
-    lang = F.element_at(F.array(*[F.lit(k) for k in names]), F.array_position("post", best).cast("int"))
-    out = out.select("id", "letters", best.alias("probability"), lang.alias("lang"), "post")
-    return out.select(
-        F.col("id").alias(id_col), F.when(F.col("letters"), F.col("lang")).alias("lang"), F.when(F.col("letters"), F.col("probability")).alias("probability"),
-        (F.col("letters") & (F.col("lang") != "und") & (F.col("probability") >= least)).alias("accepted"),
-        F.map_from_arrays(F.array(*[F.lit(k) for k in names]), "post").alias("posterior"),
-    )
+    rows = scored.join(tree, F.col("host") == F.col("h"), "left").join(spoken, F.col("declared") == F.col("d"), "left")
+    rows = rows.select("id", "e", "own", "suffix_sums", "site_sums", "sums", "said")
+    out = rows.mapInArrow(_fused(total, names, weight, least), "id long, lang string, probability double, accepted boolean, post array<double>")
+    posterior = F.map_from_arrays(F.array(*[F.lit(k) for k in names]), "post")
+    return out.select(F.col("id").alias(id_col), "lang", "probability", "accepted", posterior.alias("posterior"))
 
 
 def host_of(url: Column) -> Column:
