@@ -49,7 +49,8 @@ def logtype(text: Column, width: int = 8) -> Column:
     """The text with variables replaced by placeholders."""
     mark = lambda v: F.when(kind(v, width) == "I", INT).when(kind(v, width) == "F", FLOAT).otherwise(DICT)
     marks = F.concat(F.transform(variables(text), mark), F.array(F.lit("")))
-    return F.array_join(F.zip_with(F.split(text, VARIABLE, -1), marks, lambda c, m: F.concat(escape(c), m)), "")
+    marked = F.array_join(F.zip_with(F.split(text, VARIABLE, -1), marks, lambda c, m: F.concat(escape(c), m)), "")
+    return F.when(text.rlike(VARIABLE), marked).otherwise(escape(text))
 
 
 def display(logtype_text: Column) -> Column:

@@ -62,7 +62,7 @@ def extract_timestamp(line: Column, default_year: int | None = None) -> Column:
         ts = parse(match)
         span = F.struct(ts.alias("ts"), F.lit(name).alias("family"), (at - 1).alias("start"), (at - 1 + F.length(match)).alias("end"))
         found.append(F.when((at > 0) & ts.isNotNull(), span))
-    return F.coalesce(*found)
+    return F.when(line.rlike("[0-9]"), F.coalesce(*found))  # one look at a line without digits, not ten
 
 
 def strip_timestamp(line: Column, match: Column) -> Column:

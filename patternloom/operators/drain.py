@@ -219,16 +219,17 @@ def assign_patterns(parsed: DataFrame, mode: str = "replay", config: DrainConfig
     if mode not in ("replay", "distinct"):
         raise ValueError(f"mode is 'replay' or 'distinct', not {mode!r}")
     h = F.xxhash64("logtype").alias("h")
-    words = tokens(F.col("logtype"))
-    dictionary = parsed.groupBy(h).agg(F.first("logtype").alias("logtype"), F.min("line_number").alias("line_number"), (F.count("*") > 1).alias("again"))
-    lines = dictionary.select(F.size(words).alias("tc"), "line_number", "h", words.alias("words"), F.col("again") if mode == "replay" else F.lit(False).alias("again"))
+    dictionary = parsed.groupBy("logtype").agg(F.min("line_number").alias("line_number"), (F.count("*") > 1).alias("again"))
+    again = F.col("again") if mode == "replay" else F.lit(False).alias("again")
+    lines = dictionary.select(F.size(tokens(F.col("logtype"))).alias("tc"), "line_number", h, "logtype", again)
     if mode == "replay":
         lines = stage(lines, "dictionary")
         first = lines.where("again").select(F.col("h").alias("h1"), "tc", F.col("line_number").alias("first"))
         later = parsed.select("line_number", h).join(sized(first), F.col("h") == F.col("h1")).where(F.col("line_number") != F.col("first"))
-        later = later.select("tc", "line_number", "h", F.lit(None).cast("array<string>").alias("words"), F.lit(True).alias("again"))
+        later = later.select("tc", "line_number", "h", F.lit(None).cast("string").alias("logtype"), F.lit(True).alias("again"))
         lines = lines.unionByName(later)
     in_order = lines.repartition("tc").sortWithinPartitions("tc", "line_number")
+    in_order = in_order.select("tc", "line_number", "h", tokens(F.col("logtype")).alias("words"), "again")
     places = stage(in_order.mapInArrow(_replay(config), "line_number long, h long, founder long"), "places")
     numbers = stage(ranked(places.select("founder").distinct(), "founder").select("founder", F.col("rank").alias("pattern_id")), "numbers")
     by_type = places.groupBy("h").agg(F.min("founder").alias("founder"), F.max("founder").alias("other"))

@@ -185,7 +185,8 @@ def drain_clusters(spark, sf_dir):
 
 def drain_documents(spark, sf_dir):
     """Document lines, each distinct logtype once."""
-    assigned = Decomposition(nonempty_lines(spark, sf_dir), mode="distinct", default_year=YEAR).assigned
+    parsed = Decomposition(lambda: nonempty_lines(spark, sf_dir), default_year=YEAR).parsed
+    assigned = drain.assign_patterns(parsed, "distinct")
     return stats.pattern_stats(assigned).select("pattern_id", "count", "first_line", "last_line")
 
 

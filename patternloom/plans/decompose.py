@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property, wraps
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import infer_label
 from ..operators import anomalies, correlations, drain, extract, scoring, stats
-from ..operators.parse import parse_lines
-from ..sources.staging import collecting, drop_paths, stage
+from ..operators.parse import compacted, expanded, parse_lines
+from ..sources.staging import collecting, drop_paths, finished, stage
 
 
 def _step(make):
@@ -29,11 +30,11 @@ def _step(make):
 class Decomposition:
     """Tables of one analysis, each made when asked for.
 
-    ``lines``: line_number, raw. What several tables are made from is staged in the
+    ``lines``: line_number, raw, or a function that returns them (what it stages is deleted when the lines are parsed). What several tables are made from is staged in the
     shared folder when first asked for; :meth:`close` deletes it.
     """
 
-    lines: DataFrame
+    lines: DataFrame | Callable[[], DataFrame]
     mode: str = "replay"
     context: int = 0
     default_year: int | None = None
@@ -44,11 +45,12 @@ class Decomposition:
 
     @_step
     def parsed(self) -> DataFrame:
-        return stage(parse_lines(self.lines, self.default_year))
+        lines = lambda: self.lines if isinstance(self.lines, DataFrame) else self.lines()
+        return expanded(finished(lambda: compacted(parse_lines(lines(), self.default_year)), "parsed"))
 
     @_step
     def assigned(self) -> DataFrame:
-        return stage(drain.assign_patterns(self.parsed, self.mode, self.config))
+        return expanded(finished(lambda: compacted(drain.assign_patterns(self.parsed, self.mode, self.config)), "assigned"))
 
     @_step
     def templates(self) -> DataFrame:
