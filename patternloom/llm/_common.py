@@ -47,7 +47,7 @@ def ascii_lower(text: Column) -> Column:
 class WordHash(dict):
     """XXH64 of words (bytes), remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

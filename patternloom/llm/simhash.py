@@ -80,17 +80,19 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray) -> np.ndarr
             label = after
 
 
-def _compare(radius: int, step: int = 1 << 21):
+def _compare(radius: int, step: int = 1 << 18):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         here = tile["home"].to_numpy()
         fp, node = tile["fp"].to_numpy().view(np.uint64), tile["node"].to_numpy()
         home, guest = np.flatnonzero(here), np.flatnonzero(~here)
         label = np.arange(len(tile))
-        width = max(1, step // max(1, len(home)))
+        width, own = max(1, step // max(1, len(home))), fp[home][:, None]
         for k in range(0, len(guest), width):
             part = guest[k : k + width]
-            i, j = np.nonzero(np.bitwise_count(fp[home][:, None] ^ fp[part][None, :]) <= radius)
-            if len(i):
+            close = np.bitwise_count(own ^ fp[part][None, :]) <= radius
+            if close.any():
+                close &= label[home][:, None] != label[part][None, :]  # in a dense tile few links are new
+                i, j = np.nonzero(close)
                 label = _forest(home[i], part[j], len(tile), label)
         moved = np.flatnonzero(label != np.arange(len(tile)))
         out = pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
