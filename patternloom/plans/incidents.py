@@ -97,7 +97,12 @@ def incident_by_pattern(spark, sf_dir):
     """Patterns with anomalies, the most severe first, and their types, the most severe first."""
     rows = anomalies.by_pattern(_analysis(spark, sf_dir).anomalies)
     kinds = F.array_join(F.transform("anomalies", lambda a: a["type"]), ",")
-    return _round(rows.select("pattern_id", "max_severity", kinds.alias("types")), "max_severity")
+    return _placed(_round(rows.select("pattern_id", "max_severity", kinds.alias("types")), "max_severity"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """A short ordered report with each row's place in it."""
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
 
 
 def incident_scores(spark, sf_dir):
@@ -110,9 +115,9 @@ def incident_critical(spark, sf_dir):
 
 
 def incident_correlations(spark, sf_dir):
-    """All correlations over their thresholds."""
+    """All correlations over their thresholds, in the order of the report."""
     rows = _analysis(spark, sf_dir).correlations
-    return _round(rows, "strength").select("pattern_a", "pattern_b", "correlation_type", "description", "strength")
+    return _placed(_round(rows, "strength").select("pattern_a", "pattern_b", "correlation_type", "description", "strength"))
 
 
 def incident_slots(spark, sf_dir):
@@ -152,13 +157,15 @@ SQL = {
     "incident_variables": f"{_CHAIN} SELECT line_number, pattern_id, slot::BIGINT AS slot, raw, var_type, round(num, 6) AS num FROM v",
     "incident_escapes": f"""WITH l AS ({LINES}) SELECT line_number, chr(18) || ':' || chr(17) || ':' || chr(18) || ' INFO opened C:' || repeat(chr(92), 2) || 'temp' || repeat(chr(92), 2) || chr(17) AS logtype, raw FROM l WHERE contains(raw, chr(92))""",
     "incident_anomalies": f"{_CHAIN} SELECT pattern_id, type, var_slot, unique_count, round(severity::DOUBLE, 6) AS severity FROM an",
-    "incident_by_pattern": f"{_CHAIN} SELECT pattern_id, round(max(severity)::DOUBLE, 6) AS max_severity, string_agg(type, ',' ORDER BY severity DESC, type, var_slot) AS types FROM an GROUP BY pattern_id",
+    "incident_by_pattern": f"{_CHAIN} SELECT pattern_id, round(max(severity)::DOUBLE, 6) AS max_severity, string_agg(type, ',' ORDER BY severity DESC, type, var_slot) AS types, row_number() OVER (ORDER BY max(severity) DESC, pattern_id) AS place FROM an GROUP BY pattern_id",
     "incident_scores": f"{_CHAIN} SELECT pattern_id, count, keyword_weight, severity, score FROM sr",
     "incident_critical": f"{_CHAIN} SELECT pattern_id, severity, score FROM sr WHERE severity IN ('error', 'warn') ORDER BY score DESC, count DESC, pattern_id LIMIT 3",
     "incident_correlations": f"""{_CHAIN}, {_LAGGED}, {_SHARED}
-        SELECT pattern_a, pattern_b, 'TemporalCooccurrence' AS correlation_type, printf('spike together (r=%.2f)', r) AS description, round(abs(r), 6) AS strength FROM h WHERE lag = 0 AND rank_a < rank_b AND abs(r) > 0.7
-        UNION ALL SELECT pattern_a, pattern_b, 'SharedVariable', 'share ' || arg_min(var_type, sa * 1000 + sb) || ' values', 0.8 FROM s GROUP BY pattern_a, pattern_b
-        UNION ALL SELECT pattern_a, pattern_b, 'ErrorCascade', 'precedes error by ~' || min(lag) || 'min', 0.9 FROM h WHERE lag > 0 AND r > 0.7 AND error_b AND NOT error_a GROUP BY pattern_a, pattern_b""",
+        , f AS (SELECT 0 AS kind, pattern_a, pattern_b, 'TemporalCooccurrence' AS correlation_type, printf('spike together (r=%.2f)', r) AS description, round(abs(r), 6) AS strength FROM h WHERE lag = 0 AND rank_a < rank_b AND abs(r) > 0.7
+        UNION ALL SELECT 1, pattern_a, pattern_b, 'SharedVariable', 'share ' || arg_min(var_type, sa * 1000 + sb) || ' values', 0.8 FROM s GROUP BY pattern_a, pattern_b
+        UNION ALL SELECT 2, pattern_a, pattern_b, 'ErrorCascade', 'precedes error by ~' || min(lag) || 'min', 0.9 FROM h WHERE lag > 0 AND r > 0.7 AND error_b AND NOT error_a GROUP BY pattern_a, pattern_b)
+        SELECT pattern_a, pattern_b, correlation_type, description, strength, row_number() OVER (ORDER BY strength DESC, kind, x.rank, y.rank) AS place
+        FROM f JOIN rk x ON x.pattern_id = pattern_a JOIN rk y ON y.pattern_id = pattern_b""",
     "incident_slots": f"{_CHAIN}, n(event_type, slot, label) AS (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {i}, {chr(39)}{x}{chr(39)})' for k, xs in _LABELS.items() for i, x in enumerate(xs))}) SELECT pattern_id, slot::BIGINT AS slot, var_type, total, unique_count, label FROM n JOIN k USING (event_type) JOIN en USING (pattern_id, slot)",
     "incident_approximate": f"""{_CHAIN} SELECT pattern_id, slot::BIGINT AS slot, unique_count, true AS count_close, {', '.join(f'CASE WHEN num_count > 0 THEN true END AS {p}_close' for p in ('p25', 'p50', 'p75', 'p99'))}
         FROM st LEFT JOIN ns USING (pattern_id, slot)""",
