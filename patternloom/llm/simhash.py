@@ -35,6 +35,18 @@ from ._graph import components
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit; where there are many, each byte's values are counted first."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    if len(hashes) < 400:
+        return np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    counts = sum(np.bincount((octets[k : k + 65536] + np.arange(0, 2048, 256)).ravel(), minlength=2048) for k in range(0, len(octets), 65536))
+    return (counts.reshape(8, 256) @ _BITS).ravel()
+
+
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """The fingerprint of one UTF-8 text, as an unsigned integer."""
     tokens = text.translate(_LOWER).split()
@@ -49,10 +61,7 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
         n = len(tokens) - words + 1
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 65536):
-        ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(bit_sums(h) * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
