@@ -1,7 +1,7 @@
 """Clustering logtypes into templates: a fixed-depth prefix tree with first-come-first-served clusters.
 
 Only lines with equally many tokens ever meet, so the sequential part runs per token count: lines travel as (number,
-logtype hash), with the words only where a logtype is met first, sorted by the shuffle, and are read as a stream. What a
+logtype hash), with the logtype only where it is met first, sorted by the shuffle, and are read as a stream. What a
 task holds grows with the clusters and with the logtypes that occur more than once, not with the lines. Cluster
 ids are the ranks of the lines that founded the clusters, as a single pass over all lines would number them.
 
@@ -13,6 +13,7 @@ that has gained wildcards may no longer be similar enough to a logtype it took b
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clp import WILDCARD, tokens
+from ..functions.clp import SPACE, WILDCARD, tokens
 from ..sources.lines import ranked
 from ..sources.staging import drop_stage, sized, stage
 
@@ -44,54 +45,60 @@ class _Cluster:
 class Leaf:
     """The clusters of a leaf, found by how many words they have in the same places.
 
-    For every place and word: the clusters that have it there, as a list of slots or, from ``few`` on, as a bit set. Counting
-    adds the bit sets up in binary, digit by digit, so all clusters of a leaf are counted at once.
+    For every place and word: the clusters that have it there, as the complement of one slot, a list of several or, over
+    ``few``, a bit set. Counting adds the bit sets up in binary, digit by digit, so all clusters of a leaf are counted
+    at once.
     """
 
-    few = 16
+    few = 8
 
     def __init__(self):
         self.slots: list[_Cluster | None] = []
         self.free: list[int] = []
-        self.having: dict[tuple[int, str], list[int] | int] = {}
-
-    def _put(self, key: tuple[int, str], slot: int) -> None:
-        now = self.having.get(key)
-        if now is None:
-            self.having[key] = [slot]
-        elif isinstance(now, int):
-            self.having[key] = now | 1 << slot
-        elif len(now) < self.few:
-            now.append(slot)
-        else:
-            self.having[key] = sum(1 << s for s in now) | 1 << slot
-
-    def _take(self, key: tuple[int, str], slot: int) -> None:
-        now = self.having[key]
-        if isinstance(now, int):
-            now ^= 1 << slot
-            self.having[key] = now
-        else:
-            now.remove(slot)
-        if not now:
-            del self.having[key]
+        self.having: list[dict[str, int | list[int]]] = []
 
     def add(self, cluster: _Cluster) -> None:
         cluster.leaf = self
         if self.free:
-            cluster.slot = self.free.pop()
-            self.slots[cluster.slot] = cluster
+            slot = self.free.pop()
+            self.slots[slot] = cluster
         else:
-            cluster.slot = len(self.slots)
+            slot = len(self.slots)
             self.slots.append(cluster)
-        for key in enumerate(cluster.template):
-            if key[1] != WILDCARD:
-                self._put(key, cluster.slot)
+        cluster.slot = slot
+        while len(self.having) < len(cluster.template):
+            self.having.append({})
+        for place, word in zip(self.having, cluster.template):
+            if word == WILDCARD:
+                continue
+            now = place.get(word)
+            if now is None:
+                place[word] = ~slot
+            elif type(now) is list:
+                now.append(slot)
+                if len(now) > self.few:
+                    place[word] = sum(1 << s for s in now)
+            elif now < 0:
+                place[word] = [~now, slot]
+            else:
+                place[word] = now | 1 << slot
+
+    @staticmethod
+    def _take(place: dict, word: str, slot: int) -> None:
+        now = place[word]
+        if type(now) is list:
+            now.remove(slot)
+            if len(now) == 1:
+                place[word] = ~now[0]
+        elif now >= 0 and (now := now ^ 1 << slot):
+            place[word] = now
+        else:
+            del place[word]
 
     def remove(self, cluster: _Cluster) -> None:
-        for key in enumerate(cluster.template):
-            if key[1] != WILDCARD:
-                self._take(key, cluster.slot)
+        for place, word in zip(self.having, cluster.template):
+            if word != WILDCARD:
+                self._take(place, word, cluster.slot)
         self.slots[cluster.slot] = None
         self.free.append(cluster.slot)
 
@@ -100,7 +107,7 @@ class Leaf:
         changed = False
         for at, (a, b) in enumerate(zip(cluster.template, words)):
             if a != b and a != WILDCARD:
-                self._take((at, a), cluster.slot)
+                self._take(self.having[at], a, cluster.slot)
                 cluster.template[at] = WILDCARD
                 cluster.wild += 1
                 changed = True
@@ -111,12 +118,14 @@ class Leaf:
         then the oldest."""
         n = len(words)
         digits: list[int] = []  # of the counts of all slots, lowest first
-        for key in enumerate(words):
-            carry = self.having.get(key)
-            if carry is None or key[1] == WILDCARD:
-                continue
-            if not isinstance(carry, int):
-                carry = sum(1 << s for s in carry)
+        found = [now for place, word in zip(self.having, words) if (now := place.get(word)) is not None]
+        if n and len(found) / n < least:
+            return None
+        for carry in found:
+            if type(carry) is list:
+                carry = sum([1 << s for s in carry])
+            elif carry < 0:
+                carry = 1 << ~carry
             for d, digit in enumerate(digits):
                 digits[d], carry = digit ^ carry, digit & carry
                 if not carry:
@@ -184,28 +193,59 @@ class TokenCountGroup:
         return c
 
 
-def _replay(config: DrainConfig):
-    """Over rows (tc, line_number, h, words, again) sorted by tc and line_number: words where h is new, and whether it comes again."""
+_SPACES = re.compile(SPACE + "+")
+
+
+def words_of(logtype: str) -> list[str]:
+    """The tokens of a logtype, as :func:`..functions.clp.tokens` gives them."""
+    if _CONTROLS.isdisjoint(logtype):
+        return logtype.split()
+    return [w for w in _SPACES.split(logtype) if w]
+
+
+_CONTROLS = frozenset("\x1c\x1d\x1e\x1f")  # blanks to Python only
+
+
+def _first_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tc, line_number, h, logtype, again) whose h is new in the partition."""
+    seen: set[int] = set()
+    for b in batches:
+        new = [i for i, h in enumerate(b.column("h").to_pylist()) if not (h in seen or seen.add(h))]
+        yield b.take(pa.array(new, pa.int64()))
+
+
+def _replay(config: DrainConfig, each: bool):
+    """Over rows (tc, line_number, h, logtype, again) sorted by tc and line_number: the logtype where h is new, and whether it
+    comes again. Without ``each`` only the first row of a logtype counts and is answered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, known, dictionary = None, None, {}, {}
         for b in batches:
-            out = []
-            for tc, line, h, words, again in zip(*(c.to_pylist() for c in b.columns)):
+            out, rows = [], []
+            for i, (tc, line, h, logtype, again) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
                 if tc != now:
                     now, group, known, dictionary = tc, TokenCountGroup(config), {}, {}
-                if words is not None and again:
-                    dictionary[h] = words
                 seen = known.get(h)
+                if not each:
+                    if seen is not None:
+                        continue
+                    known[h] = ()
+                    out.append(group.add(words_of(logtype), line).founder)
+                    rows.append(i)
+                    continue
+                if logtype is not None and again:
+                    dictionary[h] = words_of(logtype)
                 if seen is not None and seen[1] == group.version:
                     cluster = seen[0]
                     group.recent.move_to_end(cluster.founder)
                 else:
-                    cluster = group.add(dictionary[h] if words is None else words, line)
+                    cluster = group.add(dictionary[h] if again else words_of(logtype), line)
                     if again:
                         known[h] = (cluster, group.version)
                 out.append(cluster.founder)
-            yield pa.record_batch([b.column(1), b.column(2), pa.array(out, pa.int64())], names=["line_number", "h", "founder"])
+                rows.append(i)
+            took = pa.array(rows, pa.int64())
+            yield pa.record_batch([b.column(1).take(took), b.column(2).take(took), pa.array(out, pa.int64())], names=["line_number", "h", "founder"])
 
     return run
 
@@ -219,18 +259,19 @@ def assign_patterns(parsed: DataFrame, mode: str = "replay", config: DrainConfig
     if mode not in ("replay", "distinct"):
         raise ValueError(f"mode is 'replay' or 'distinct', not {mode!r}")
     h = F.xxhash64("logtype").alias("h")
-    dictionary = parsed.groupBy("logtype").agg(F.min("line_number").alias("line_number"), (F.count("*") > 1).alias("again"))
-    again = F.col("again") if mode == "replay" else F.lit(False).alias("again")
-    lines = dictionary.select(F.size(tokens(F.col("logtype"))).alias("tc"), "line_number", h, "logtype", again)
-    if mode == "replay":
-        lines = stage(lines, "dictionary")
+    tc = F.size(tokens(F.col("logtype"))).alias("tc")
+    if mode == "distinct":
+        lines = parsed.select(tc, "line_number", h, "logtype", F.lit(False).alias("again"))
+        lines = lines.mapInArrow(_first_of_partition, lines.schema)
+    else:
+        dictionary = parsed.groupBy("logtype").agg(F.min("line_number").alias("line_number"), (F.count("*") > 1).alias("again"))
+        lines = stage(dictionary.select(tc, "line_number", h, "logtype", "again"), "dictionary")
         first = lines.where("again").select(F.col("h").alias("h1"), "tc", F.col("line_number").alias("first"))
         later = parsed.select("line_number", h).join(sized(first), F.col("h") == F.col("h1")).where(F.col("line_number") != F.col("first"))
         later = later.select("tc", "line_number", "h", F.lit(None).cast("string").alias("logtype"), F.lit(True).alias("again"))
         lines = lines.unionByName(later)
     in_order = lines.repartition("tc").sortWithinPartitions("tc", "line_number")
-    in_order = in_order.select("tc", "line_number", "h", tokens(F.col("logtype")).alias("words"), "again")
-    places = stage(in_order.mapInArrow(_replay(config), "line_number long, h long, founder long"), "places")
+    places = stage(in_order.mapInArrow(_replay(config, mode == "replay"), "line_number long, h long, founder long"), "places")
     numbers = stage(ranked(places.select("founder").distinct(), "founder").select("founder", F.col("rank").alias("pattern_id")), "numbers")
     by_type = places.groupBy("h").agg(F.min("founder").alias("founder"), F.max("founder").alias("other"))
     by_type = stage(by_type.join(sized(numbers), "founder").select("h", F.when(F.col("founder") == F.col("other"), F.col("pattern_id")).alias("pattern_id")), "by-type")
