@@ -7,15 +7,12 @@ tokens of their own, so that SQL can name templates and variables without mining
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clp
 from ..operators import anomalies, scoring, stats
-from ..sources.staging import finished
-from .catalog import _PEARSON, _round, _slots, chain
+from .catalog import _PEARSON, _alone, _round, _slots, chain
 from .decompose import Decomposition
 
 _TEXT = lambda e: f"CAST(CAST({e} AS BIGINT) AS STRING)"
@@ -172,14 +169,6 @@ SQL = {
 }
 
 
-def _alone(query):
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return finished(lambda: query(spark, sf_dir), query.__name__)
-
-    return run
-
-
 def queries() -> dict:
     fs = (incident_templates, incident_variables, incident_escapes, incident_anomalies, incident_by_pattern, incident_scores, incident_critical, incident_correlations, incident_slots, incident_approximate)
     return {f.__name__: _alone(f) for f in fs}
